@@ -1,7 +1,7 @@
 """The corpus queries and their SQL, gathered from the operators' modules."""
 
-from lexiphyte.llm import sharding, token_counts
+from lexiphyte.llm import bpe, decontamination, secrets, sharding, token_counts
 
-MODULES = (sharding, token_counts)
+MODULES = (decontamination, secrets, token_counts, bpe, sharding)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
