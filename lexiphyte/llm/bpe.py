@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from lexiphyte.llm.common import slices
 
 #: Distinct words whose ids a task holds; beyond, it starts anew, so its memory is bounded.
-LEXICON_WORDS = 500_000
+LEXICON_WORDS = 200_000
 #: Bytes of text that are cut to words at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
