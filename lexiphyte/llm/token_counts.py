@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from lexiphyte.llm.common import shared_dir, stored
 
-#: Most pre-tokens, and bytes in each, of the frequent ones that all tasks hold (under 20 MB of text).
-HEAD_ROWS, HEAD_BYTES = 300_000, 64
+#: Most pre-tokens, and bytes in each, of the frequent ones that all tasks hold (under 7 MB of text).
+HEAD_ROWS, HEAD_BYTES = 100_000, 64
 #: Distinct pre-tokens that a task gathers before it passes them on.
-HELD = 400_000
+HELD = 150_000
 
 _SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 # In this range Unicode's versions agree on letters, numbers and white space, so texts within it need no library.
