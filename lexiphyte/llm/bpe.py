@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from lexiphyte.llm.common import slices
 
-#: Distinct words whose ids a task holds; beyond, it starts anew, so its memory is bounded.
-LEXICON_WORDS = 200_000
+#: Distinct words whose ids and token pairs whose ranks a worker holds; beyond, it starts anew, so its memory is bounded.
+LEXICON_WORDS, LEXICON_PAIRS = 250_000, 600_000
 #: Bytes of text that are cut to words at a time.
 BLOCK_BYTES = 4 << 20
 
@@ -141,25 +141,48 @@ class MergeReplay:
                 before[c] = place
 
 
+class Lexicon:
+    """What a worker has learned so far, task after task: the ids of the words it has met."""
+
+    #: By vocabulary path, in each worker's process.
+    kept: dict[str, Lexicon] = {}
+
+    def __init__(self, path: str) -> None:
+        self.replay = MergeReplay(load_ranks(path))
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.ends = array("i"), array("q", [0])
+        self.replay.pairs.clear()
+
+    @classmethod
+    def of(cls, path: str) -> Lexicon:
+        if path not in cls.kept:
+            cls.kept[path] = cls(path)
+        return cls.kept[path]
+
+    def learn(self, words: list[str]) -> None:
+        for word, ids in zip(words, self.replay.encode([w.encode() for w in words]), strict=True):
+            self.place[word] = len(self.place)
+            self.flat.extend(ids)
+            self.ends.append(len(self.flat))
+
+
 def _encode(path: str, pattern: str, text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         cut = regex.compile(pattern).findall
-        replay = MergeReplay(load_ranks(path))
-        place: dict[str, int] = {}
-        flat, ends = array("i"), array("q", [0])
+        known = Lexicon.of(path)
         for batch in batches:
             for part in slices(batch, text, BLOCK_BYTES):
-                if len(place) > LEXICON_WORDS:
-                    place, flat, ends = {}, array("i"), array("q", [0])
+                if len(known.place) > LEXICON_WORDS or len(known.replay.pairs) > LEXICON_PAIRS:
+                    known.forget()
+                place = known.place
                 docs = [cut(x) if x else [] for x in part.column(text).to_pylist()]
-                new = list(set().union(*docs).difference(place))
-                for word, ids in zip(new, replay.encode([w.encode() for w in new]), strict=True):
-                    place[word] = len(place)
-                    flat.extend(ids)
-                    ends.append(len(flat))
-                table, to = np.array(flat, np.int32), np.array(ends, np.int64)
+                known.learn(list(set().union(*docs).difference(place)))
+                table, to = np.array(known.flat, np.int32), np.array(known.ends, np.int64)
                 counts = np.array([len(d) for d in docs], np.int64)
                 seq = np.fromiter((place[w] for d in docs for w in d), np.int64, int(counts.sum()))
                 size = to[seq + 1] - to[seq]
@@ -177,7 +200,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
 
     Each task takes its documents in blocks. A block's distinct words that it hasn't met are encoded together: an
     inverted index from token pairs to their places in those words yields the merges in rank order, and each touches
-    only the two neighbours of a place. A task keeps what it has learned (LEXICON_WORDS words at most), so a frequent
+    only the two neighbours of a place. A worker keeps what it has learned (LEXICON_WORDS words at most), so a frequent
     word is encoded once for all its occurrences. Blocks keep the corpus-level replay free of any shuffle: the join
     that would carry ids from a global word table back to texts moves more bytes than the texts have.
 
@@ -190,11 +213,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
 
 def _decode(path: str, ids: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = load_ranks(path)
-        top = max(ranks.values()) + 1
-        tokens = [b""] * top
-        for k, v in ranks.items():
-            tokens[v] = k
+        by_id = Lexicon.of(path).replay.tokens
+        tokens = [by_id.get(k, b"") for k in range(max(by_id) + 1)]
         ends = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
         raw = np.frombuffer(b"".join(tokens), np.uint8)
         for batch in batches:
