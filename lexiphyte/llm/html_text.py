@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lexiphyte.llm.common import buffers, shared_dir, slices, words
 
 TAGS, WORDS, TAG_DIM, WORD_DIM, HIDDEN = 1024, 1024, 16, 8, 24
+#: Least chance of a block to be kept: boilerplate scores far below, and a lost paragraph costs more than a kept line.
+KEEP = 0.15
 #: Pages that the labeller is trained on and passes over them.
 TRAIN_PAGES, EPOCHS = 1_600, 10
 
@@ -171,7 +173,7 @@ def _means(table: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out = np.zeros((len(n), table.shape[1]), np.float32)
     full = np.flatnonzero(n)
     if len(full):
-        out[full] = np.add.reduceat(table[ids], ends[full], axis=0) / np.sqrt(n[full])[:, None]
+        out[full] = np.add.reduceat(table[ids], ends[full], axis=0) / n[full, None]
     return out
 
 
@@ -292,7 +294,7 @@ class BlockLabeller:
                     np.add.at(d_in, grid[real], back_in[real])
                 for name, ids, ends, cols in (("tag", sub.tag, sub.tag_end, slice(0, TAG_DIM)), ("word", sub.word, sub.word_end, slice(TAG_DIM, TAG_DIM + WORD_DIM))):
                     n = np.diff(ends)
-                    flow = np.repeat(d_in[:, cols] / np.sqrt(np.maximum(n, 1))[:, None], n, 0)
+                    flow = np.repeat(d_in[:, cols] / np.maximum(n, 1)[:, None], n, 0)
                     grad[name] = np.stack([np.bincount(ids, flow[:, j], len(self.p[name])) for j in range(flow.shape[1])], 1).astype(np.float32)
                 step += 1
                 rate = 0.01 * (1 - epoch / EPOCHS) + 0.001
@@ -379,7 +381,7 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = 11) -> list[tuple[str,
         for _ in range(int(r.integers(1, 14))):
             x = r.random()
             if x < 0.76:
-                text = prose(True) if r.random() < 0.75 else sentence(int(r.integers(1, 3)))
+                text = prose(True) if r.random() < 0.68 else sentence(int(r.integers(1, 3)))
                 if r.random() < 0.15:
                     text = f"<b>{text}<br>"
                 body.append(f"<p>{text}" + ("</p>" if r.random() < 0.9 else ""))
@@ -429,7 +431,7 @@ def _extract(model, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
             for part in slices(batch, "html"):
                 parsed = [blocks(x or "") for x in part.column("html").to_pylist()]
                 x = features(parsed)
-                good = model.value.probabilities(x) >= 0.5
+                good = model.value.probabilities(x) >= KEEP
                 texts = ["\n\n".join(b.text for b, g in zip(p, good[a:], strict=False) if g) for p, a in zip(parsed, x.page_end[:-1], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*names, "text", "n_chars"])
 
