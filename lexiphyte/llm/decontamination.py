@@ -219,6 +219,14 @@ def contamination(docs: DataFrame, items: DataFrame, least_items: int = ITEMS, *
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, least_items: int = 1, id_col: str = "doc_id", **options) -> DataFrame:
+    """The documents less those with windows of ``least_items`` items or more; rows of null id are left."""
+    bad = contamination(docs, items, least_items, id_col=id_col, **options).where("contaminated AND doc_id IS NOT NULL")
+    gone = stored(bad.select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
+    few = gone.count() <= 2_000_000  # ids under 40 MB in all travel to the texts, else both sides are shuffled
+    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(docs.columns)
+
+
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
