@@ -20,14 +20,14 @@ def is_parsed(names: Names) -> bool:
     return isinstance(names, DataFrame) and set(PARSED) <= set(names.columns)
 
 
-def parsed(spark: SparkSession, names: Names, what: str = "query", validate: bool | None = None) -> DataFrame:
+def parsed(spark: SparkSession, names: Names, what: str = "query", validate: bool | None = None, prefix: str = "df") -> DataFrame:
     """``pos, id, name`` and parts of names given as a list, a table of names, or a table that is parsed already.
 
     A parsed table has ``pos``, or ids that end in ``-<number>``, as ``parse_names`` makes them. Its ids must be unique.
     """
     if isinstance(names, (list, tuple)) or isinstance(names, DataFrame) and "name" in names.columns:
         if not is_parsed(names):
-            return parse_with_positions(spark, names, validate=validate)
+            return parse_with_positions(spark, names, validate=validate, prefix=prefix)
         pos = F.col("pos").cast("long") if "pos" in names.columns else F.try_to_number(F.regexp_extract("id", "([0-9]+)$", 1), F.lit("9" * 18)).cast("long")
         return names.select(pos.alias("pos"), *("id", "name", *PARTS))
     raise TypeError(f"{what} must be of class 'data.frame' or a character vector")
@@ -108,8 +108,9 @@ def match_names(
     replaced = None
     if manual_match is not None:
         query, replaced = _manual(spark, query, manual_match)
-    left = parsed(spark, query, "query", validate)
-    right = parsed(spark, reference, "reference", validate)
+    # Tables without ids get them by side; a table matched to itself has the same on both, as equal lists have.
+    left = parsed(spark, query, "query", validate, "df" if query is reference else "q")
+    right = parsed(spark, reference, "reference", validate, "df" if query is reference else "r")
     if manual_match is not None:
         known = right.select(F.col("name").alias("match"))
         if manual_match.join(known, "match", "left_anti").limit(1).count():

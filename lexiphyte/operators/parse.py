@@ -58,7 +58,7 @@ def with_parts(names: DataFrame) -> DataFrame:
     return joined.withColumns({p: blank_to_null(F.get("_parts", F.lit(k))) for k, p in enumerate(PARTS)}).drop("_parts")
 
 
-def as_names(spark: SparkSession, names: list[str] | DataFrame) -> DataFrame:
+def as_names(spark: SparkSession, names: list[str] | DataFrame, prefix: str = "df") -> DataFrame:
     """``pos, id, name``: of a list in its order, of a table by its ``pos``, or else by its rows' places in the scan.
 
     A table without ids gets them from its positions. Positions matter, as of equal keys the last one holds; so a table
@@ -70,7 +70,7 @@ def as_names(spark: SparkSession, names: list[str] | DataFrame) -> DataFrame:
         raise TypeError("names must be a list of strings or a DataFrame with a column `name`")
     pos = F.col("pos").cast("long") if "pos" in names.columns else F.monotonically_increasing_id()
     out = names.select(pos.alias("pos"), *(["id"] if "id" in names.columns else []), "name")
-    return out if "id" in out.columns else out.select("pos", F.concat(F.lit("df-"), F.col("pos").cast("string")).alias("id"), "name")
+    return out if "id" in out.columns else out.select("pos", F.concat(F.lit(f"{prefix}-"), F.col("pos").cast("string")).alias("id"), "name")
 
 
 def check_parse(tried: DataFrame, quiet: bool = False) -> None:
@@ -89,8 +89,8 @@ def _few(df: DataFrame) -> bool:
     return "LocalRelation" in df._jdf.queryExecution().optimizedPlan().toString() or "LogicalRDD" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def parse_with_positions(spark: SparkSession, names: list[str] | DataFrame, quiet: bool = False, validate: bool | None = None) -> DataFrame:
-    tried = with_parts(as_names(spark, names))
+def parse_with_positions(spark: SparkSession, names: list[str] | DataFrame, quiet: bool = False, validate: bool | None = None, prefix: str = "df") -> DataFrame:
+    tried = with_parts(as_names(spark, names, prefix))
     if validate if validate is not None else isinstance(names, (list, tuple)):
         check_parse(tried, quiet)
     return tried.where(F.col("genus_name").isNotNull())
