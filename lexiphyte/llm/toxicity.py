@@ -13,7 +13,7 @@ from lexiphyte.llm.common import shared_dir, slices
 from lexiphyte.llm.subwords import row_sums, word_grams
 
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of their ids.
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 7_000
 GRAMS, BUCKETS, WIDTH, EPOCHS, BATCH = (3, 4, 5, 6), 1 << 18, 4, 8, 128
 #: Factor on the averaged vector, as a few toxic words among hundreds must move the softmax.
 SCALE = 200.0
@@ -23,25 +23,27 @@ class SubwordSoftmax:
     """Mean over words of the mean vector of their n-grams, then a softmax over two classes."""
 
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 7) -> SubwordSoftmax:
-        doc, bucket, weight = [], [], []
+        # Each document's buckets and its mean's weights for them; kept apart, as all in one would double the memory.
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+        shared = np.zeros(BUCKETS, np.int32)
         for at in range(0, len(texts), 128):
-            w = word_grams(pa.array(texts[at : at + 128]), GRAMS, True)
+            w = word_grams(pa.array(texts[at : at + 128], pa.large_string()), GRAMS, True)
             per_gram = np.repeat(1.0 / np.maximum(np.diff(w.gram_end), 1), np.diff(w.gram_end))
             b = (w.gram & np.uint64(BUCKETS - 1)).astype(np.int64)
             for k in range(len(w.row) - 1):
                 seen, times = np.unique(w.of[w.row[k] : w.row[k + 1]], return_counts=True)
-                if not len(seen):
-                    continue
                 size = w.gram_end[seen + 1] - w.gram_end[seen]
                 take = np.arange(size.sum()) + np.repeat(w.gram_end[seen] - np.cumsum(size) + size, size)
-                mass = np.bincount(b[take], per_gram[take] * np.repeat(times, size) / times.sum(), BUCKETS)
-                mine = np.flatnonzero(mass)
-                doc.append(np.full(len(mine), at + k, np.int32)), bucket.append(mine.astype(np.int32)), weight.append(mass[mine].astype(np.float32))
-        doc, bucket, weight = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (doc, bucket, weight))
-        shared = np.bincount(bucket, minlength=BUCKETS)[bucket] >= 3  # what fewer documents have says nothing of others
-        doc, bucket, weight = doc[shared], bucket[shared], weight[shared]
-        starts = np.searchsorted(doc, np.arange(len(texts) + 1))
-        names, column = np.unique(bucket, return_inverse=True)
+                mine, of = np.unique(b[take], return_inverse=True)
+                mass = np.bincount(of, per_gram[take] * np.repeat(times, size) / max(1, times.sum()), len(mine))
+                rows.append((mine.astype(np.int32), mass.astype(np.float32)))
+                shared[mine] += 1
+        names = np.flatnonzero(shared >= 3)  # what fewer documents have says nothing of others
+        column = np.full(BUCKETS, -1, np.int32)
+        column[names] = np.arange(len(names))
+        for k, (mine, mass) in enumerate(rows):
+            c = column[mine]
+            rows[k] = c[c >= 0], mass[c >= 0]
 
         rng = np.random.default_rng(seed)
         vec = rng.normal(0, 0.1, (len(names), WIDTH)).astype(np.float32)
@@ -53,9 +55,8 @@ class SubwordSoftmax:
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
-                size = starts[own + 1] - starts[own]
-                take = np.arange(size.sum()) + np.repeat(starts[own] - np.cumsum(size) + size, size)
-                col, x = column[take], weight[take] * np.float32(SCALE)
+                size = np.array([len(rows[k][0]) for k in own])
+                col, x = np.concatenate([rows[k][0] for k in own]), np.concatenate([rows[k][1] for k in own]) * np.float32(SCALE)
                 mean = row_sums(vec[col] * x[:, None], np.concatenate(([0], np.cumsum(size)))).astype(np.float32)
                 z = mean @ out + bias
                 p = np.exp(z - z.max(1, keepdims=True))
