@@ -200,8 +200,10 @@ def _label(model, names: list[str], spans: bool) -> Callable[[Iterator[pa.Record
 
 
 def _runs(path: np.ndarray, langs: list[str]) -> list[dict]:
-    cut = np.flatnonzero(np.diff(path)) + 1 if len(path) else np.zeros(0, np.int64)
-    starts = np.concatenate(([0], cut)) if len(path) else cut
+    if not len(path):
+        return []
+    cut = np.flatnonzero(np.diff(path)) + 1
+    starts = np.concatenate(([0], cut))
     return [{"lang": langs[path[a]], "first": int(a), "words": int(b - a)} for a, b in zip(starts, np.append(cut, len(path)), strict=True)]
 
 
