@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ from lexiphyte.llm.common import shared_dir, slices
 from lexiphyte.llm.subwords import row_sums, word_grams
 
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of their ids.
-TRAIN_DOCS = 7_000
+TRAIN_DOCS = 12_000
 GRAMS, BUCKETS, WIDTH, EPOCHS, BATCH = (3, 4, 5, 6), 1 << 18, 4, 8, 128
 #: Factor on the averaged vector, as a few toxic words among hundreds must move the softmax.
 SCALE = 200.0
@@ -23,30 +24,42 @@ class SubwordSoftmax:
     """Mean over words of the mean vector of their n-grams, then a softmax over two classes."""
 
     def fit(self, texts: list[str], labels: np.ndarray, seed: int = 7) -> SubwordSoftmax:
-        # Each document's buckets and its mean's weights for them; kept apart, as all in one would double the memory.
+        # Distinct words of all documents with their buckets, and each document's words with their shares of it.
+        ids: dict[int, int] = {}
+        flat, sizes = array("i"), array("i")
         rows: list[tuple[np.ndarray, np.ndarray]] = []
         shared = np.zeros(BUCKETS, np.int32)
         for at in range(0, len(texts), 128):
             w = word_grams(pa.array(texts[at : at + 128], pa.large_string()), GRAMS, True)
-            per_gram = np.repeat(1.0 / np.maximum(np.diff(w.gram_end), 1), np.diff(w.gram_end))
-            b = (w.gram & np.uint64(BUCKETS - 1)).astype(np.int64)
+            bucket = (w.gram & np.uint64(BUCKETS - 1)).astype(np.int32)
+            whole = w.gram[w.gram_end[1:] - 1] if len(w.letters) else np.zeros(0, np.uint64)  # a word's last hash is its own
+            place = np.empty(len(whole), np.int32)
+            for k, h in enumerate(whole.tolist()):
+                i = ids.get(h)
+                if i is None:
+                    i = ids[h] = len(sizes)
+                    own = bucket[w.gram_end[k] : w.gram_end[k + 1]]
+                    flat.frombytes(own.tobytes())
+                    sizes.append(len(own))
+                place[k] = i
             for k in range(len(w.row) - 1):
                 seen, times = np.unique(w.of[w.row[k] : w.row[k + 1]], return_counts=True)
-                size = w.gram_end[seen + 1] - w.gram_end[seen]
-                take = np.arange(size.sum()) + np.repeat(w.gram_end[seen] - np.cumsum(size) + size, size)
-                mine, of = np.unique(b[take], return_inverse=True)
-                mass = np.bincount(of, per_gram[take] * np.repeat(times, size) / max(1, times.sum()), len(mine))
-                rows.append((mine.astype(np.int32), mass.astype(np.float32)))
-                shared[mine] += 1
-        names = np.flatnonzero(shared >= 3)  # what fewer documents have says nothing of others
-        column = np.full(BUCKETS, -1, np.int32)
+                rows.append((place[seen], (times / max(1, times.sum())).astype(np.float32)))
+            docs_of = np.bincount(np.concatenate([np.unique(w.of[a:b]) for a, b in zip(w.row[:-1], w.row[1:], strict=True)]), minlength=len(whole)) if len(whole) else np.zeros(0, np.int64)
+            np.add.at(shared, bucket, np.repeat(docs_of, np.diff(w.gram_end)).astype(np.int32))
+        del ids
+        size = np.array(sizes, np.int64)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        names = np.flatnonzero(shared >= 3)  # rarer n-grams say nothing of other documents
+        # Rare buckets share one more vector that stays zero.
+        column = np.full(BUCKETS, len(names), np.int32)
         column[names] = np.arange(len(names))
-        for k, (mine, mass) in enumerate(rows):
-            c = column[mine]
-            rows[k] = c[c >= 0], mass[c >= 0]
+        cols = column[np.frombuffer(flat, np.int32)] if flat else np.zeros(0, np.int32)
+        del flat
 
         rng = np.random.default_rng(seed)
-        vec = rng.normal(0, 0.1, (len(names), WIDTH)).astype(np.float32)
+        vec = rng.normal(0, 0.1, (len(names) + 1, WIDTH)).astype(np.float32)
+        vec[-1] = 0
         out = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
         bias = np.log(np.array([(labels == k).mean() + 1e-3 for k in (0, 1)], np.float32))
         g_vec, g_out, g_bias = np.full(vec.shape, 1e-4, np.float32), np.full(out.shape, 1e-2, np.float32), np.full(2, 1e-2, np.float32)
@@ -55,23 +68,30 @@ class SubwordSoftmax:
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
-                size = np.array([len(rows[k][0]) for k in own])
-                col, x = np.concatenate([rows[k][0] for k in own]), np.concatenate([rows[k][1] for k in own]) * np.float32(SCALE)
-                mean = row_sums(vec[col] * x[:, None], np.concatenate(([0], np.cumsum(size)))).astype(np.float32)
+                doc_end = np.concatenate(([0], np.cumsum([len(rows[k][0]) for k in own])))
+                used, of = np.unique(np.concatenate([rows[k][0] for k in own]), return_inverse=True)
+                x = np.concatenate([rows[k][1] for k in own]) * np.float32(SCALE)
+                n = size[used]
+                stop = np.cumsum(n)
+                col = cols[np.arange(n.sum()) + np.repeat(ends[used] - stop + n, n)]
+                word = (row_sums(vec[col], np.concatenate(([0], stop))) / np.maximum(n, 1)[:, None]).astype(np.float32)
+                mean = row_sums(word[of] * x[:, None], doc_end).astype(np.float32)
                 z = mean @ out + bias
                 p = np.exp(z - z.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
                 p[np.arange(len(own)), labels[own]] -= 1
                 p /= len(own)
                 d_mean, d_out, d_bias = p @ out.T, mean.T @ p + 1e-5 * out, p.sum(0)
-                flow = np.repeat(d_mean, size, 0) * x[:, None]
-                d_vec = np.stack([np.bincount(col, flow[:, j], len(names)) for j in range(WIDTH)], 1).astype(np.float32)
+                flow = np.repeat(d_mean, np.diff(doc_end), 0) * x[:, None]
+                d_word = np.stack([np.bincount(of, flow[:, j], len(used)) for j in range(WIDTH)], 1) / np.maximum(n, 1)[:, None]
+                d_vec = np.stack([np.bincount(col, np.repeat(d_word[:, j], n), len(vec)) for j in range(WIDTH)], 1).astype(np.float32)
+                d_vec[-1] = 0
                 for param, grad, total in ((vec, d_vec, g_vec), (out, d_out, g_out), (bias, d_bias, g_bias)):
                     total += grad * grad
                     param -= rate * grad / np.sqrt(total)
         #: All layers after the embedding are linear, so a bucket's share of the margin is one number.
         self.margin = np.zeros(BUCKETS, np.float32)
-        self.margin[names] = SCALE * (vec @ (out[:, 1] - out[:, 0]))
+        self.margin[names] = SCALE * (vec[:-1] @ (out[:, 1] - out[:, 0]))
         self.bias = float(bias[1] - bias[0])
         return self
 
