@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lexiphyte.functions.text import cleaned, depunct, squeeze
 
-PARTS = ("genus_hybrid_sign", "genus_name", "species_hybrid_sign", "specific_epithet", "infraspecific_rank", "infraspecific_epithet", "author")
-KINDS = ("exact", "punct", "noauth", "cfonly", "irank", "basio", "in", "exin", "basexin")
+PARTS = tuple("genus_hybrid_sign genus_name species_hybrid_sign specific_epithet infraspecific_rank infraspecific_epithet author".split())
+KINDS = tuple("exact punct noauth cfonly irank basio in exin basexin".split())
 
 _BASIONYM, _IN, _EXIN = r"^\([^)]+\)", " [iI]n .*$", " ([eE]x|[iI]n) .*$"
 

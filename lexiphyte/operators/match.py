@@ -30,7 +30,7 @@ def parsed(spark: SparkSession, names: Names, what: str = "query", validate: boo
             return parse_with_positions(spark, names, validate=validate, prefix=prefix)
         pos = F.col("pos").cast("long") if "pos" in names.columns else F.try_to_number(F.regexp_extract("id", "([0-9]+)$", 1), F.lit("9" * 18)).cast("long")
         return names.select(pos.alias("pos"), *("id", "name", *PARTS))
-    raise TypeError(f"{what} must be of class 'data.frame' or a character vector")
+    raise TypeError(f"{what} must be of class DataFrame or list")
 
 
 def reference_keys(keyed: DataFrame, kinds: set[str] | None = None) -> DataFrame:
@@ -137,13 +137,13 @@ def match_names(
 def _manual(spark: SparkSession, query: Names, manual: DataFrame) -> tuple[Names, DataFrame]:
     """The names to match in place of the queries, and the table from the queries to them."""
     if not isinstance(manual, DataFrame):
-        raise TypeError("manual_match must be of class 'data.frame'")
+        raise TypeError("manual_match must be of class DataFrame")
     if not {"query", "match"} <= set(manual.columns):
         raise ValueError("manual_match must have `query` and `match` columns")
     if manual.groupBy("query").count().where("count > 1 OR query IS NULL").limit(1).count():
-        raise ValueError("All values of manual_match$query must be unique")
+        raise ValueError("Queries of manual_match must be unique and not null")
     if is_parsed(query):
-        raise TypeError("manual_match can only be used if query is a character vector")
+        raise TypeError("manual_match can only be used if query is given as names")
     picks = manual.select("query", "match")
     if isinstance(query, (list, tuple)):
         # A list is on the driver already; only its own overrides come there.
@@ -160,7 +160,7 @@ def _manual(spark: SparkSession, query: Names, manual: DataFrame) -> tuple[Names
 def _check(query: Names, reference: Names, max_dist: float, *flags: bool) -> None:
     for what, x in (("query", query), ("reference", reference)):
         if not isinstance(x, (list, tuple, DataFrame)):
-            raise TypeError(f"{what} must be of class 'data.frame' or a character vector")
+            raise TypeError(f"{what} must be of class DataFrame or list")
     if isinstance(max_dist, bool) or not isinstance(max_dist, (int, float)):
         raise TypeError("max_dist must be a number")
     if not all(isinstance(x, bool) for x in flags):

@@ -81,7 +81,7 @@ def check_parse(tried: DataFrame, quiet: bool = False) -> None:
         raise ValueError("No names could be successfully parsed")
     if bad and not quiet:
         listed = ", ".join(some) if some is not None else f"{bad} names; see rejected_names()"
-        warnings.warn(f"The following names could not be parsed and are excluded from results: {listed}", stacklevel=3)
+        warnings.warn(f"Names that could not be parsed are left out: {listed}", stacklevel=3)
 
 
 def _few(df: DataFrame) -> bool:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from lexiphyte.operators.match import Names, match_names
 
 RESOLVED = ("query", "resolved_name", "matched_name", "resolved_status", "matched_status", "match_type")
-TAXONOMY = ("taxonID", "acceptedNameUsageID", "taxonomicStatus", "scientificName")
+TAXONOMY = tuple("taxonID acceptedNameUsageID taxonomicStatus scientificName".split())
 
 
 def classify(matches: DataFrame) -> DataFrame:
     """The match table with ``result_type``: single_match, mult_match or no_match, by its rows of each query string."""
     if not isinstance(matches, DataFrame):
-        raise TypeError("match_results must be of class 'data.frame'")
+        raise TypeError("match_results must be of class DataFrame")
     n = F.count("*").over(Window.partitionBy("query"))
     return matches.withColumn("result_type", F.when(F.col("match_type") == "no_match", "no_match").when(n == 1, "single_match").otherwise("mult_match"))
 
@@ -28,9 +28,9 @@ def resolve_names(spark: SparkSession, query: Names, taxonomy: DataFrame, max_di
     dangling step counts as the name null. All other queries keep their matches and stay unresolved.
     """
     if not isinstance(query, (list, tuple, DataFrame)):
-        raise TypeError("query must be of class 'data.frame' or a character vector")
+        raise TypeError("query must be of class DataFrame or list")
     if not isinstance(taxonomy, DataFrame):
-        raise TypeError("ref_taxonomy must be of class 'data.frame'")
+        raise TypeError("ref_taxonomy must be of class DataFrame")
     if missing := set(TAXONOMY) - set(taxonomy.columns):
         raise ValueError(f"ref_taxonomy lacks columns: {', '.join(sorted(missing))}")
     # Ids may be numbers; they're compared as strings.

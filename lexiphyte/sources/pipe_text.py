@@ -14,7 +14,7 @@ COLUMNS = ("id", *PARTS)
 def as_lines(parsed: DataFrame) -> DataFrame:
     """One ``value`` a name: id and seven parts joined by ``|``, null as nothing."""
     if not isinstance(parsed, DataFrame):
-        raise TypeError("df must be of class 'data.frame'")
+        raise TypeError("df must be of class DataFrame")
     if missing := [c for c in COLUMNS if c not in parsed.columns]:
         raise ValueError(f"df must include the following columns: {', '.join(COLUMNS)} (missing: {', '.join(missing)})")
     return parsed.select(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in COLUMNS)).alias("value"))
@@ -40,4 +40,4 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated taxonomy with a header, all columns as strings; an initial of one small letter, which no name
     parser takes, is written large in the name."""
     raw = spark.read.csv(path, sep="\t", header=True, quote="", inferSchema=False)
-    return raw.withColumn("scientificName", F.regexp_replace("scientificName", "v. d. Bosch", "V. D. Bosch"))
+    return raw.withColumn("scientificName", F.regexp_replace("scientificName", "v. d. (?=Bosch)", "V. D. "))
