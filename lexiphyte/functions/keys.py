@@ -10,7 +10,8 @@ from lexiphyte.functions.text import cleaned, depunct, squeeze
 PARTS = tuple("genus_hybrid_sign genus_name species_hybrid_sign specific_epithet infraspecific_rank infraspecific_epithet author".split())
 KINDS = tuple("exact punct noauth cfonly irank basio in exin basexin".split())
 
-_BASIONYM, _IN, _EXIN = r"^\([^)]+\)", " [iI]n .*$", " ([eE]x|[iI]n) .*$"
+_BASIONYM, _IN = r"^\([^)]+\)", " [iI]n .*$"
+_EXIN = " (?:[eE]x|[iI]n) .*$"
 
 
 def key_columns() -> dict[str, Column]:
