@@ -15,7 +15,7 @@ from lexiphyte.llm.subwords import row_sums, word_grams
 
 #: Labelled rows that the classifier is fitted on at most, taken in the order of a hash of their ids.
 TRAIN_DOCS = 12_000
-GRAMS, BUCKETS, WIDTH, EPOCHS, BATCH = (3, 4, 5, 6), 1 << 18, 4, 8, 128
+GRAMS, BUCKETS, WIDTH, STEPS, BATCH = (3, 4, 5, 6), 1 << 18, 4, 750, 128
 #: Factor on the averaged vector, as a few toxic words among hundreds must move the softmax.
 SCALE = 200.0
 
@@ -63,8 +63,9 @@ class SubwordSoftmax:
         out = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
         bias = np.log(np.array([(labels == k).mean() + 1e-3 for k in (0, 1)], np.float32))
         g_vec, g_out, g_bias = np.full(vec.shape, 1e-4, np.float32), np.full(out.shape, 1e-2, np.float32), np.full(2, 1e-2, np.float32)
-        for epoch in range(EPOCHS):
-            rate = 0.25 * (1 - epoch / EPOCHS) + 0.01
+        epochs = -(-STEPS * BATCH // max(1, len(texts)))  # as many steps for few documents as for many
+        for epoch in range(epochs):
+            rate = 0.25 * (1 - epoch / epochs) + 0.01
             order = rng.permutation(len(texts))
             for at in range(0, len(order), BATCH):
                 own = order[at : at + BATCH]
@@ -116,10 +117,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     some = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(some), "id")
-    # Bounded by TRAIN_DOCS ids; the limit holds again for ids that several documents have.
-    rows = texts.select("id", "text", "y").limit(2 * TRAIN_DOCS).toArrow().sort_by([("id", "ascending"), ("text", "ascending")])
-    y = np.array(rows.column("y").to_pylist(), np.int64)
-    return SubwordSoftmax().fit(rows.column("text").to_pylist(), np.minimum(y, 1)) if len(y) else SubwordSoftmax().fit([""], np.zeros(1, np.int64))
+    # Bounded by TRAIN_DOCS ids; the limit holds again for ids that several documents have. One task trains on them, so
+    # that the driver holds no more than the finished model.
+    made = texts.select("id", "text", "y").limit(2 * TRAIN_DOCS).mapInArrow(_train, "margin binary, bias double").collect()
+    model = SubwordSoftmax()
+    if made:
+        model.margin, model.bias = np.frombuffer(made[0]["margin"], np.float32), made[0]["bias"]
+        return model
+    return model.fit([""], np.zeros(1, np.int64))
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        rows = pa.Table.from_batches(held).sort_by([("id", "ascending"), ("text", "ascending")])
+        texts, y = rows.column("text").to_pylist(), np.minimum(np.array(rows.column("y").to_pylist(), np.int64), 1)
+        del rows, held
+        model = SubwordSoftmax().fit(texts, y)
+        yield pa.RecordBatch.from_arrays([pa.array([model.margin.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["margin", "bias"])
 
 
 def _score(model, names: list[str], text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
