@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexiphyte.llm.common import slices
 
 #: Distinct words whose ids and token pairs whose ranks a worker holds; beyond, it starts anew, so its memory is bounded.
-LEXICON_WORDS, LEXICON_PAIRS = 250_000, 600_000
+LEXICON_WORDS, LEXICON_PAIRS = 150_000, 400_000
 #: Bytes of text that are cut to words at a time.
 BLOCK_BYTES = 4 << 20
 
