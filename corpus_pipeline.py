@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near duplicates (five words, similarity 0.8 or more) stays, that of the smallest id."""
+    return drop_near_duplicates(docs, size=5, similarity=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,15 +15,27 @@ from lexiphyte.llm.common import buffers, lists, mixed, shared_dir, slices, stor
 
 #: Words of a shingle and the least similarity of linked documents, in hundredths.
 SHINGLE, SIMILARITY = 5, 85
-#: Coordinates of a signature and those that a candidate pair has in common at least. A pair at similarity 0.85 has
-#: fewer with probability under 3e-10 (binomial tail), so the threshold costs no link in practice.
-COORDINATES, MATCHES = 64, 34
+#: Coordinates of a signature, and the chance that a pair of just the least similarity may have to share too few of them.
+COORDINATES, MISSED = 64, 3e-10
 #: Members from which a posting list is compared in blocks of BLOCK inside tasks instead of as rows.
 LARGE, BLOCK = 48, 512
 
 _STEPS = np.random.default_rng(1997).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 
 
+def matches(similarity: int) -> int:
+    """Coordinates that a candidate pair has in common at least: the most that a pair of ``similarity`` has fewer of with
+    probability MISSED at most (binomial tail), so that the threshold costs no link in practice; 34 at 85, 29 at 80. One
+    at least: from 0.28 downwards a pair without any common coordinate is likelier than MISSED.
+    """
+    s, below = similarity / 100, 0.0
+    for k in range(COORDINATES):
+        below += math.comb(COORDINATES, k) * s**k * (1 - s) ** (COORDINATES - k)
+        if below > MISSED:
+            return max(1, k)
+    return COORDINATES
+
+
 def shingle_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """All shingles' hashes, row by row, with each row's end; fewer words than ``size`` make one shingle."""
     h, ends = words(*buffers(part.column("text")), "solid")
@@ -150,9 +163,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     1. Every text is lower-cased in A-Z and cut at ASCII white space; its set holds the hashes of its distinct
        shingles (fewer words: one). Documents of equal sets form a class, and only classes go on.
     2. Each class is posted under its signature's coordinate-value pairs. Pairs that one class has are no postings;
-       a class with fewer than MATCHES others can't have a partner. By the prefix rule the rarest coordinates but
-       MATCHES - 1 suffice to meet every partner, so the lists of common passages are skipped, not merged.
-    3. In each list all members meet the list's hub; pairs with MATCHES common coordinates are confirmed on the full
+       a class with fewer than ``matches`` others can't have a partner. By the prefix rule the rarest coordinates but
+       ``matches`` - 1 suffice to meet every partner, so the lists of common passages are skipped, not merged.
+    3. In each list all members meet the list's hub; pairs with ``matches`` common coordinates are confirmed on the full
        sets, and connected members become one component. Then the pairs across components follow: of short lists as
        rows, of long ones by blocks inside tasks, where sparse products give all intersections and only spanning links
        leave. Pairs inside a component can add nothing and are skipped, so a group of n near copies costs about n.
@@ -163,14 +176,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     """
     spark = docs.sparkSession
     shared_dir(spark)
+    least_common = matches(similarity)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = stored(source.mapInArrow(_sign(size), "id long, n long, c long, sig array<int>"), "signatures")
     classes = stored(signed.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
 
     posted = classes.select("c", F.posexplode("sig").alias("j", "v")).select("c", (F.col("v").cast("long") * COORDINATES + F.col("j")).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    live = posted.join(often, "key").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("p")).where(F.size("p") >= MATCHES)
-    prefix = stored(live.select("c", F.explode(F.slice("p", F.lit(1), F.size("p") - (MATCHES - 1))).alias("p")).select("c", "p.key", "p.f"), "prefixes")
+    live = posted.join(often, "key").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("p")).where(F.size("p") >= least_common)
+    prefix = stored(live.select("c", F.explode(F.slice("p", F.lit(1), F.size("p") - (least_common - 1))).alias("p")).select("c", "p.key", "p.f"), "prefixes")
 
     # The full sets of the classes that may have partners, from one document each.
     wanted = stored(prefix.select("c").distinct(), "wanted")
@@ -183,7 +197,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         pairs = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("y")), "b")
         same = F.aggregate(F.zip_with("x", "y", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, t: s + t)
-        pairs = stored(pairs.where(same >= MATCHES).select("a", "b"), f"{label}-pairs")
+        pairs = stored(pairs.where(same >= least_common).select("a", "b"), f"{label}-pairs")
         both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return stored(both.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), f"{label}-links")
