@@ -25,10 +25,14 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
-#: Elements whose content is never text of the page; of the first two even markup is none.
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "select", "button", "object", "video", "audio", "math", "canvas")}
+#: Elements whose content is raw: no markup is read in it and none of it is text of the page.
+_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "iframe")}
+#: Controls, whose labels are no text of the page where their end tag closes them; one inside another ends that first.
+_CONTROL = frozenset(("button", "select"))
+#: Formulas stand in the line; these and pictures may be empty elements, as of all markup only XML's may.
+_MATH = frozenset("math annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()) | _MATH
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul dd dt".split())
 
 
@@ -45,6 +49,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     links: list[str] = []
+    before: list[int] = []  # for each open control, outermost first, the number of blocks before it
     in_link = 0
     at, size, path = 0, len(page), ""
 
@@ -69,6 +74,13 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links.append(piece)
 
+    def cut(k: int) -> None:
+        """Close the open elements from the k-th on."""
+        n = sum(t in _CONTROL for t, _ in stack[k:])
+        if n:
+            del before[-n:]
+        del stack[k:]
+
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -87,27 +99,40 @@ def blocks(page: str) -> list[Block]:
         if m[1] or m[4]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    del stack[k:]
+                    if tag in _CONTROL:
+                        del out[before[sum(t in _CONTROL for t, _ in stack[:k])] :]
+                    cut(k)
                     break
             if tag == "a":
                 in_link = 0
             continue
+        attrs = m[3] or m[6] or ""
+        empty = attrs.rstrip().endswith("/")
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
-            at = end.end() if end else size
+            if end:
+                at = end.end()
+            elif tag in ("script", "style") and not empty:
+                at = size  # the rest is code
             continue
         if tag in _VOID:
             continue
         if tag in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p" or stack[k][0] == tag == "li":
-                    del stack[k:]
+                    cut(k)
                     break
                 if stack[k][0] not in _INLINE:
                     break
             in_link = 0
-        attrs = m[3] or m[6] or ""
-        if not attrs.rstrip().endswith("/") or tag in _INLINE or tag in _CLOSES_P:
+        if tag in _CONTROL:
+            for k, (t, _) in enumerate(stack):
+                if t in _CONTROL:
+                    cut(k)
+                    break
+            if not empty:
+                before.append(len(out))
+        if not empty or tag in _INLINE and tag not in _MATH or tag in _CLOSES_P:
             names = [tag]
             if attrs:
                 names += [f"{a.lower()[0]}={p}" for a, v in _ATTR.findall(attrs) for p in _PART.findall(v.lower())[:8]]
@@ -442,7 +467,7 @@ def extract_text(pages: DataFrame, model: BlockLabeller | None = None, id_col: s
     """``page_id, url, text, n_chars``: the main text of every whole page.
 
     A page is cut to text blocks at the edges of block elements. Scripts, styles, forms' controls and comments of the
-    markup hold no text. Each block is a vector of its path of tags, classes and ids, of its hashed words and of a few
+    markup hold no text; an end tag that is missing costs no text but of scripts and styles. Each block is a vector of its path of tags, classes and ids, of its hashed words and of a few
     numbers (length, share of links, punctuation, place); an LSTM reads the sequence in both directions, and blocks
     labelled as main text are joined by two line ends. The model is trained in numpy on TRAIN_PAGES pages that
     ``training_pages`` draws, as no labelled pages come with the data.
