@@ -10,6 +10,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,12 @@ _ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ESCAPED = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+|(?:\\x[0-9A-Fa-f]{2})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run, with the lines that follow where they hold nothing else: blobs are often wrapped.
+_BASE64 = re.compile(r"""[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]++(?=[\x20\t]*(?:[\r\n"'=,;)}\]<]|\Z)))*={0,2}""")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: Text in decoded bytes; less than 12 characters hold neither a secret nor a further blob.
+_TEXT = re.compile(rb"(?:[\t\n\r\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2}){12,}+")
+_MAGIC = re.compile(rb"\x1F\x8B\x08|\x78[\x01\x5E\x9C\xDA]|BZh[1-9]|\xFD7zXZ\x00")
 _WORDS = ("passw", "secret", "token", "api")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -43,31 +49,36 @@ def scan(text: str) -> list[Span]:
     return out + [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
 
 
-def _unescaped(run: str) -> str | None:
-    try:
-        if run[0] == "%":
-            return bytes.fromhex(run.replace("%", "")).decode()
-        if run[1] == "x":
-            return bytes.fromhex(run.replace("\\x", "")).decode()
-        return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
-    except ValueError:
-        return None
-
-
-def _unfolded(raw: bytes) -> bytes | None:
-    """Decompressed bytes, the same bytes where they aren't compressed, None where that fails or passes the bound."""
+def _unescaped(run: str) -> list[tuple[str, int, int]]:
+    """The pieces of a run of escapes that decode, each with its place in the run; what is no text between them stays."""
+    if run[1] == "u":
+        plain = bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be", "surrogatepass")
+        sizes = [12 if c > "\uffff" else 6 for c in plain]
+    else:
+        width = 3 if run[0] == "%" else 4
+        plain = bytes.fromhex(run.replace("%" if width == 3 else "\\x", "")).decode(errors="surrogateescape")
+        sizes = [width if "\ud800" <= c <= "\udfff" else width * len(c.encode()) for c in plain]
+    out, ends = [], [0, *accumulate(sizes)]
+    for m in re.finditer("[^\ud800-\udfff]+", plain):
+        out.append((m[0], ends[m.start()], ends[m.end()]))
+    return out
+
+
+def _unfolded(raw: bytes) -> tuple[bytes, int] | None:
+    """Decompressed bytes and how many they were made of, the same bytes where they aren't compressed, None where that
+    fails or passes the bound."""
     try:
         if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] << 8 | raw[1]) % 31 == 0:
             d = zlib.decompressobj(47)
             out = d.decompress(raw, UNFOLD_BYTES)
-            return out if d.eof else None
+            return (out, len(raw) - len(d.unused_data)) if d.eof else None
         if raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00":
             d = bz2.BZ2Decompressor() if raw[:1] == b"B" else lzma.LZMADecompressor(memlimit=256 << 20)
             out = d.decompress(raw, UNFOLD_BYTES)
-            return out if d.eof else None
+            return (out, len(raw) - len(d.unused_data)) if d.eof else None
     except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
         return None
-    return raw
+    return raw, len(raw)
 
 
 def _unbased(run: str) -> str | None:
@@ -81,9 +92,13 @@ def _unbased(run: str) -> str | None:
     # Bytes that can start neither text nor a compressed stream end most attempts here.
     if raw[0] != 0x1F and raw[0] < 9 or 0x80 <= raw[0] < 0xC2 or raw[0] > 0xF4 and raw[0] != 0xFD:
         return None
-    raw = _unfolded(raw)
+    found = _unfolded(raw)
+    return _plain(found[0]) if found else None
+
+
+def _plain(raw: bytes) -> str | None:
     try:
-        text = raw.decode() if raw else ""
+        text = raw.decode()
     except UnicodeDecodeError:
         return None
     return text if text and (text.isprintable() or not set(text) & _CONTROL) else None
@@ -92,6 +107,68 @@ def _unbased(run: str) -> str | None:
 _CONTROL = {chr(k) for k in (*range(9), 11, 12, *range(14, 32), 127)}
 
 
+def _inside(run: str, heads: list[int]) -> list[tuple[str, int, int]]:
+    """Texts and compressed streams anywhere in a run that is no blob as a whole, with the characters they come from.
+
+    Each of the four alignments is decoded once. A piece starts at one of ``heads`` (after a separator or line end), or
+    wherever text starts; the latter is left out where it only adds up to three bytes and no other secret to the former.
+    """
+    plain = run.rstrip("=").replace("-", "+").replace("_", "/")
+    out = []
+    for k in range(4):
+        body = plain[k:]
+        if len(body) % 4 == 1:
+            body = body[:-1]
+        raw = base64.b64decode(body + "=" * (-len(body) % 4))
+        place = lambda a, b, k=k, n=len(raw): (k + a * 8 // 6, len(run) if b == n else k + -(-b * 8 // 6))
+        upto = 0
+        for m in _MAGIC.finditer(raw):
+            if m.start() >= upto and (found := _unfolded(raw[m.start() :])):
+                upto = m.start() + found[1]
+                if (new := _plain(found[0])) is not None:
+                    out.append((new, *place(m.start(), upto)))
+        starts = [(p - k) // 4 * 3 for p in heads if p >= k and p % 4 == k]
+        at = 0
+        for m in _TEXT.finditer(raw):
+            a, b = m.span()
+            while at < len(starts) and starts[at] < a:
+                at += 1
+            whole = raw[a:b].decode()
+            # A head may lie inside a character; then it is none of text.
+            if at < len(starts) and starts[at] < b and (own := _TEXT.match(raw, starts[at])) and own.end() == b:
+                text = own[0].decode()
+                out.append((text, *place(starts[at], b)))
+                cut = len(whole) - len(text)
+                if starts[at] - a <= 3 and [(x - cut, y, z - cut) for x, y, z in scan(whole)] == scan(text):
+                    continue
+            out.append((whole, *place(a, b)))
+    return out
+
+
+def _blobs(layer: str) -> Iterator[tuple[str, int, int]]:
+    """The texts of the base64 blobs in a layer, each with the blob's span, over line ends where it is wrapped."""
+    for m in _BASE64.finditer(layer):
+        lines = [x.span() for x in _LINE.finditer(layer, *m.span())]
+        run = "".join(layer[a:b] for a, b in lines)
+        new = _unbased(run)
+        if new is not None:
+            yield new, *m.span()
+            continue
+        heads, n, done = [], 0, []
+        for a, b in lines:
+            heads.append(n)
+            n += b - a
+            if len(lines) > 1 and b - a >= 16 and (new := _unbased(layer[a:b])) is not None:
+                done.append((a, b))
+                yield new, a, b
+        at = [p for a, b in lines for p in range(a, b)]
+        heads = sorted({*heads, *(x.end() for x in re.finditer("[/_-]", run))})
+        for new, a, b in _inside(run, heads):
+            a, b = at[a], at[b - 1] + 1
+            if not any(x <= a and b <= y for x, y in done):
+                yield new, a, b
+
+
 def layers(text: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int]], int]]:
     """The text and all that its encoded parts unfold to, each once, with a map from its spans to those of the text.
 
@@ -112,24 +189,21 @@ def layers(text: str) -> Iterator[tuple[str, Callable[[int, int], tuple[int, int
             if _ESCAPED.search(layer):
                 parts, starts, stops, at = [], [], [], 0
                 for m in _ESCAPED.finditer(layer):
-                    plain = _unescaped(m[0])
-                    if plain is None:
-                        continue
-                    a, b = m.span()
-                    parts += layer[at:a], plain
-                    starts += [*range(at, a), *[a] * len(plain)]
-                    stops += [*range(at + 1, a + 1), *[b] * len(plain)]
-                    at = b
+                    for plain, a, b in _unescaped(m[0]):
+                        a, b = m.start() + a, m.start() + b
+                        parts += layer[at:a], plain
+                        starts += [*range(at, a), *[a] * len(plain)]
+                        stops += [*range(at + 1, a + 1), *[b] * len(plain)]
+                        at = b
                 parts.append(layer[at:])
                 starts += range(at, len(layer))
                 stops += range(at + 1, len(layer) + 1)
                 new = "".join(parts)
                 if new != layer and new:
                     work.append((new, lambda a, b, s=starts, e=stops, back=back: back(s[a], e[max(a, b - 1)]), depth + 1))
-        for m in _BASE64.finditer(layer):
-            new = _unbased(m[0])
-            if new is not None and new != layer:
-                work.append((new, lambda a, b, m=m.span(), back=back: back(*m), depth + 1))
+        for new, *span in _blobs(layer):
+            if new != layer:
+                work.append((new, lambda a, b, m=span, back=back: back(*m), depth + 1))
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span]]:
