@@ -45,9 +45,10 @@ def shingle_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarra
     at = np.arange(upto[-1]) + np.repeat(ends[:-1] - upto[:-1], per)
     left = np.repeat(n, per)
     out = np.zeros(len(at), np.uint64)
-    for j in range(size):
+    # Random odd factors: with regular ones, words in another order could give the same sum.
+    for j, factor in enumerate(np.random.default_rng(1854).integers(1, 1 << 63, size, dtype=np.uint64) << np.uint64(1) | np.uint64(1)):
         inside = left > j
-        out += np.where(inside, h[np.where(inside, at + j, 0)] if len(h) else 0, np.uint64(0x5851F42D4C957F2D)) * np.uint64(2 * j + 0x1F3D5B79)
+        out += np.where(inside, h[np.where(inside, at + j, 0)] if len(h) else 0, np.uint64(0x5851F42D4C957F2D)) * factor
     return mixed(out), upto
 
 
