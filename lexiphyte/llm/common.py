@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes, so that its temporaries stay near 100 MB.
 SLICE_BYTES = 2 << 20
@@ -29,7 +30,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``stored`` wrote and that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def frequent(words: DataFrame, column: str, most: int, size: int) -> Column:
+    """A condition for the most frequent rows of ``words`` (by ``n``): at most ``most``, none over ``size`` bytes.
+
+    Counts fall into classes of an eighth of an octave; only the classes' sizes come to the driver.
+    """
+    step, short = F.floor(F.log2("n") * 8).cast("int"), F.octet_length(column) <= size
+    sizes = {r[0]: r[1] for r in words.where(short).groupBy(step.alias("s")).count().collect()}
+    least, held = 10**6, 0
+    for s in sorted(sizes, reverse=True):
+        held += sizes[s]
+        if held > most:
+            break
+        least = s
+    return short & (step >= least)
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:

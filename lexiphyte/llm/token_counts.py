@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiphyte.llm.common import shared_dir, stored
+from lexiphyte.llm.common import frequent, shared_dir, stored
 
 #: Most pre-tokens, and bytes in each, of the frequent ones that all tasks hold (under 7 MB of text).
 HEAD_ROWS, HEAD_BYTES = 100_000, 64
@@ -138,17 +138,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     spark = docs.sparkSession
     shared_dir(spark)
     words = stored(vocabulary(docs, path, text_col), "token-vocabulary")
-    step = F.floor(F.log2("n") * 8).cast("int")
-    sizes = {r[0]: r[1] for r in words.where(F.octet_length("piece") <= HEAD_BYTES).groupBy(step.alias("s")).count().collect()}
-    least, held = 10**6, 0
-    for s in sorted(sizes, reverse=True):
-        held += sizes[s]
-        if held > HEAD_ROWS:
-            break
-        least = s
-    head = words.where((F.octet_length("piece") <= HEAD_BYTES) & (step >= least)).select("piece", "k").toArrow()
+    often = frequent(words, "piece", HEAD_ROWS, HEAD_BYTES)
+    head = words.where(often).select("piece", "k").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist(), strict=True)))
-    rare = words.where((F.octet_length("piece") > HEAD_BYTES) | (step < least)).select("piece", "k")
+    rare = words.where(~often).select("piece", "k")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type

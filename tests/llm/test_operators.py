@@ -358,9 +358,34 @@ def test_bpe(spark, docs, none):
         want.append((d, len(ids), sha(",".join(map(str, ids))), sha(t or "")))
     same(map(tuple, bpe.token_digests(docs, path).collect()), want)
     assert bpe.token_digests(none, path).count() == 0
+    assert bpe.encode_documents(none, path).count() == 0
 
 
-def test_merges_out_of_rank_order():
+@pytest.mark.parametrize(("head", "learned", "few"), [(200_000, 100_000, 24), (5, 10, 1), (0, 0, 10**9)])
+def test_bpe_lexicon(spark, docs, monkeypatch, head, learned, few):
+    """Without a corpus lexicon, with rare words dropped after each block, places merged one by one or only together."""
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "HEAD_WORDS", head)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    both = bpe.decode_ids(bpe.encode_documents(docs, path), path).collect()
+    assert bpe.decode_ids(bpe.encode_documents(docs, path), path, "ids").columns == ["doc_id", "ids", "decoded"]
+    same([(r["doc_id"], r["ids"], bytes(r["decoded"])) for r in both], [(d, model.encode_ordinary(t or ""), (t or "").encode()) for d, t in given(docs)])
+    # Workers don't see what is patched here, so what they run is run here too.
+    monkeypatch.setattr(bpe, "LEARNED", learned)
+    monkeypatch.setattr(bpe, "FEW", few)
+    known = bpe.Lexicon(path, ["the"], np.array(model.encode_ordinary("the"), np.int32), np.array([0, 1], np.int64))
+    for words in ({"the", " quick", "zzzqqqxxx", "aaaaaaa"}, {"日本語", " fox" * 9}, {"aaaa" * 40, " elixirs"}, {" quick"}):
+        known.learn(words)
+        for w in words:
+            k = known.place[w]
+            assert known.spelled[k] == ",".join(map(str, model._encode_single_piece(w.encode()))).encode() and known.decoded[k] == w.encode()
+            assert list(known.flat[known.ends[k] : known.ends[k + 1]]) == model._encode_single_piece(w.encode())
+    assert len(known.place) == len(known.spelled) == len(known.ends) - 1 <= 1 + max(learned, 8)
+
+
+def test_merges_out_of_rank_order(monkeypatch):
     """A vocabulary where a merge makes a pair of lower rank, so that a word leaves the order of the others."""
     import tiktoken
 
@@ -369,7 +394,13 @@ def test_merges_out_of_rank_order():
     model = tiktoken.Encoding("own", pat_str=r"[a-c]+", mergeable_ranks=ranks, special_tokens={})
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abc"), rng.integers(1, 14))) for _ in range(3000)]
-    assert bpe.MergeReplay(ranks).encode([w.encode() for w in words]) == [model.encode_ordinary(w) for w in words]
+    want = [model.encode_ordinary(w) for w in words]
+    for few in (24, 1, 10**9):
+        monkeypatch.setattr(bpe, "FEW", few)
+        replay = bpe.MergeReplay(ranks)
+        ids, ends = replay.encode([w.encode() for w in words])
+        assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+    assert [replay.alone(w.encode()) for w in words] == want
 
 
 # 10. shards
