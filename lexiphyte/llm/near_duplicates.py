@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiphyte.llm.common import buffers, lists, mixed, shared_dir, slices, stored, words
+from lexiphyte.llm.common import buffers, discard, lists, mixed, shared_dir, slices, stored, words
 
 #: Words of a shingle and the least similarity of linked documents, in hundredths.
 SHINGLE, SIMILARITY = 5, 85
 #: Coordinates of a signature, and the chance that a pair of just the least similarity may have to share too few of them.
 COORDINATES, MISSED = 64, 3e-10
+#: Rows of ids that are sent to all tasks at most, and the share of all rows from which a class is one of few large ones.
+SENT, LARGE_CLASS = 1_000_000, 1000
 #: Members from which a posting list is compared in blocks of BLOCK inside tasks instead of as rows.
 LARGE, BLOCK = 48, 512
 
@@ -52,6 +54,11 @@ def shingle_sets(part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarra
     return mixed(out), upto
 
 
+def set_class(s: np.ndarray) -> int:
+    """A 64-bit hash of a set given as its distinct members."""
+    return int(mixed(np.array([mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
+
+
 def _sign(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per document its set's size, a 64-bit class of the set, and the signature."""
 
@@ -63,28 +70,29 @@ def _sign(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 count, cls = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows, np.int64)
                 for k in full:
                     s = np.unique(h[ends[k] : ends[k + 1]])
-                    count[k] = len(s)
-                    cls[k] = int(mixed(np.array([mixed(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
+                    count[k], cls[k] = len(s), set_class(s)
                 sig = np.empty((len(full), COORDINATES), np.int32)
                 if len(full):
                     for j, step in enumerate(_STEPS):
                         sig[:, j] = (mixed(np.minimum.reduceat(h * step, ends[full])) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 stops = np.concatenate(([0], np.cumsum(np.diff(ends) > 0))) * COORDINATES
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(count), pa.array(cls, mask=count == 0), lists(sig.ravel(), stops, pa.int32())], ["id", "n", "c", "sig"]
+                    [part.column("id"), part.column("t"), pa.array(count), pa.array(cls, mask=count == 0), lists(sig.ravel(), stops, pa.int32())], ["id", "t", "n", "c", "sig"]
                 )
 
     return run
 
 
 def _sets(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The full set of each text and its class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 h, ends = shingle_sets(part, size)
                 found = [np.unique(h[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 stops = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-                yield pa.RecordBatch.from_arrays([part.column("c"), lists(np.concatenate(found).view(np.int64), stops, pa.int64())], ["c", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_class(x) for x in found], pa.int64()), lists(np.concatenate(found).view(np.int64), stops, pa.int64())], ["c", "s"])
 
     return run
 
@@ -150,7 +158,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: u and its lesser neighbours go to the least of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = stored(small, "edges")
+        old, edges = edges, stored(small, "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -158,42 +167,28 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents linked by ``100 * |A & B| >= similarity * |A | B|`` on their sets of word shingles.
-
-    1. Every text is lower-cased in A-Z and cut at ASCII white space; its set holds the hashes of its distinct
-       shingles (fewer words: one). Documents of equal sets form a class, and only classes go on.
-    2. Each class is posted under its signature's coordinate-value pairs. Pairs that one class has are no postings;
-       a class with fewer than ``matches`` others can't have a partner. By the prefix rule the rarest coordinates but
-       ``matches`` - 1 suffice to meet every partner, so the lists of common passages are skipped, not merged.
-    3. In each list all members meet the list's hub; pairs with ``matches`` common coordinates are confirmed on the full
-       sets, and connected members become one component. Then the pairs across components follow: of short lists as
-       rows, of long ones by blocks inside tasks, where sparse products give all intersections and only spanning links
-       leave. Pairs inside a component can add nothing and are skipped, so a group of n near copies costs about n.
-
-    Returns, one row per document: ``id_col`` (long), ``n_shingles``, ``component_id`` (the least id that links reach)
-    and ``kept`` (the id is the component's). A null text or one without words links with nothing and is kept. Rows of
-    equal id and set are all kept; null ids are never the least of a group with others. An empty table gives no rows.
-    """
+def grouped(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, t, n, component`` of every row (``t``: a hash of its text), as ``near_duplicates`` describes them."""
     spark = docs.sparkSession
     shared_dir(spark)
     least_common = matches(similarity)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = stored(source.mapInArrow(_sign(size), "id long, n long, c long, sig array<int>"), "signatures")
-    classes = stored(signed.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    signed = stored(source.mapInArrow(_sign(size), "id long, t long, n long, c long, sig array<int>"), "signatures")
+    classes = stored(signed.where("n > 0").groupBy("c").agg(F.min("id").alias("first"), F.min("t").alias("t"), F.count("*").alias("rows"), F.first("sig").alias("sig")), "classes")
 
     posted = classes.select("c", F.posexplode("sig").alias("j", "v")).select("c", (F.col("v").cast("long") * COORDINATES + F.col("j")).alias("key"))
     often = posted.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     live = posted.join(often, "key").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("p")).where(F.size("p") >= least_common)
     prefix = stored(live.select("c", F.explode(F.slice("p", F.lit(1), F.size("p") - (least_common - 1))).alias("p")).select("c", "p.key", "p.f"), "prefixes")
 
-    # The full sets of the classes that may have partners, from one document each.
-    wanted = stored(prefix.select("c").distinct(), "wanted")
-    some = wanted.join(signed.where("id is not null").groupBy("c").agg(F.min("id").alias("id")), "c").select("c", "id").distinct()
-    few = wanted.count() <= 2_000_000  # under 40 MB; beyond, texts are shuffled to their ids instead
-    texts = source.join(F.broadcast(some) if few else some, "id").select("c", "text")
+    # The full sets of the classes that may have partners, from one text each. Texts are found by their hashes; another
+    # text of the same hash would add the set of another class.
+    sigs = stored(classes.join(prefix.select("c").distinct(), "c", "left_semi").select("c", "t", "sig"), "wanted-signatures")
+    some = sigs.select("t").distinct()
+    few = sigs.count() <= SENT  # some 16 MB; beyond, texts are shuffled to the hashes instead
+    texts = source.join(F.broadcast(some) if few else some, "t", "left_semi").select("text")
     sets = stored(texts.mapInArrow(_sets(size), "c long, s array<long>").dropDuplicates(["c"]), "sets")
-    sigs = stored(classes.join(wanted, "c", "left_semi").select("c", "sig"), "wanted-signatures")
+    sigs = sigs.select("c", "sig")
 
     def confirmed(pairs: DataFrame, label: str) -> DataFrame:
         pairs = pairs.join(sigs.select(F.col("c").alias("a"), F.col("sig").alias("x")), "a").join(sigs.select(F.col("c").alias("b"), F.col("sig").alias("y")), "b")
@@ -221,15 +216,40 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMI
     found = components(links)
     least = found.join(classes.select(F.col("c").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("component"))
     to = found.join(least, "root").select(F.col("node").alias("c"), "component")
-    to = classes.select("c", "first").join(to, "c", "left").select("c", F.coalesce("component", "first").alias("component"))
-    # A document without a class joins under a key of its own, so that such rows don't meet in one task.
-    key = F.coalesce("c", F.xxhash64("id", F.lit("none")))
-    return (
-        signed.select("id", "n", key.alias("c"))
-        .join(to, "c", "left")
-        .select(F.col("id"), "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
-        .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    to = classes.select("c", "first", "rows").join(to, "c", "left").select("c", "rows", F.coalesce("component", "first").alias("component"))
+    # Classes of more than a thousandth of all rows (under a thousand) come to the rows; other rows go to their classes,
+    # and those without one join under keys of their own, so that no key has many rows.
+    large = classes.agg(F.sum("rows")).first()[0] or 0
+    hot = to.where(F.col("rows") * LARGE_CLASS > large).select("c", F.struct("component").alias("hot"))
+    rows = signed.select("id", "t", "n", "c").join(F.broadcast(hot), "c", "left")
+    key = F.when(F.col("hot").isNull(), F.col("c"))
+    rows = rows.withColumn("c", F.coalesce(key, F.xxhash64("id", "t", F.monotonically_increasing_id())))
+    cold = to.where(F.col("rows") * LARGE_CLASS <= large).select("c", "component")
+    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("hot").isNotNull(), F.col("hot.component")).otherwise(F.col("component"))
+    return rows.join(cold, "c", "left").select("id", "t", "n", component.alias("component"))
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents linked by ``100 * |A & B| >= similarity * |A | B|`` on their sets of word shingles.
+
+    1. Every text is lower-cased in A-Z and cut at ASCII white space; its set holds the hashes of its distinct
+       shingles (fewer words: one). Documents of equal sets form a class, and only classes go on.
+    2. Each class is posted under its signature's coordinate-value pairs. Pairs that one class has are no postings;
+       a class with fewer than ``matches`` others can't have a partner. By the prefix rule the rarest coordinates but
+       ``matches`` - 1 suffice to meet every partner, so the lists of common passages are skipped, not merged.
+    3. In each list all members meet the list's hub; pairs with ``matches`` common coordinates are confirmed on the full
+       sets, and connected members become one component. Then the pairs across components follow: of short lists as
+       rows, of long ones by blocks inside tasks, where sparse products give all intersections and only spanning links
+       leave. Pairs inside a component can add nothing and are skipped, so a group of n near copies costs about n.
+
+    Returns, one row per document: ``id_col`` (long), ``n_shingles``, ``component_id`` (the least id that links reach)
+    and ``kept`` (the id is the component's). A null text or one without words links with nothing and is kept. Rows of
+    equal id and set are all kept; one id with two texts is two documents; null ids are never the least of a group with
+    others, and then not kept. An empty table gives no rows; other columns are ignored. A long text costs its task 24 bytes
+    a word.
+    """
+    found = grouped(docs, size, similarity, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def _block_rows(posted: DataFrame) -> DataFrame:
@@ -250,11 +270,17 @@ def _block_rows(posted: DataFrame) -> DataFrame:
     return dealt.select("key", "c", "comp", F.col("w.u").alias("u"), F.col("w.v").alias("v"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents less those that another of their group stands for; rows of null id stay."""
-    gone = stored(near_duplicates(docs, id_col=id_col, **options).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(id_col)).distinct(), "dropped")
-    few = gone.count() <= 2_000_000  # ids under 40 MB in all travel to the texts, else both sides are shuffled
-    return docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(docs.columns)
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents less those that another of their group stands for, with their columns.
+
+    Of a group the rows of the least id stay. A row of null id goes only where its group has an id. What goes is told by
+    id and text, so rows that share an id with a dropped one but not its text stay.
+    """
+    found = grouped(docs, id_col=id_col, text_col=text_col, **options)
+    gone = stored(found.where(~F.col("id").eqNullSafe(F.col("component"))).select("id", "t").distinct(), "dropped")
+    few = gone.count() <= SENT  # some 32 MB travel to the texts, else both sides are shuffled
+    gone = F.broadcast(gone) if few else gone
+    return docs.join(gone, (F.xxhash64(docs[text_col]) == gone["t"]) & docs[id_col].cast("long").eqNullSafe(gone["id"]), "left_anti").select(docs.columns)
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,10 +330,27 @@ def test_near_duplicates_edges(spark, none):
     assert near_duplicates.near_duplicates(docs).where("kept").count() == 4
     some = table(spark, copies(2, 6)).select("doc_id", "text", "h")
     kept = near_duplicates.drop_near_duplicates(some)
-    want = {d for d, _, _, k in naive_groups(given(some)) if k or d is None}
+    want = {d for d, _, _, k in naive_groups(given(some)) if k}
     assert kept.columns == some.columns and {r["doc_id"] for r in kept.collect()} == want
 
 
+@pytest.mark.parametrize(("share", "sent"), [(1000, 1_000_000), (4, 0)])
+def test_near_duplicates_ids(spark, monkeypatch, share, sent):
+    """One id with two texts, and null ids that hold a group together or are one; large classes and others."""
+    monkeypatch.setattr(near_duplicates, "LARGE_CLASS", share)
+    monkeypatch.setattr(near_duplicates, "SENT", sent)
+    a, b, c, d = ([f"{x}{k}" for k in range(100)] for x in "abcd")
+    near = lambda w, *at: " ".join("q" if k in at else x for k, x in enumerate(w))
+    rows = [(5, near(a)), (5, near(b)), (7, near(a, 50)), (8, near(b, 50)), (9, near(c)), (None, near(c, 0)), (10, near(c, 0, 99)), (None, near(d)), (None, near(d, 9)), (11, "x"), (11, "x"), (12, None)]
+    rows += [(20 + k, near(a)) for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"t": F.lit("t"), "component": F.lit(1)})
+    want = naive_groups(rows)
+    same(map(tuple, near_duplicates.near_duplicates(docs).collect()), want)
+    kept = near_duplicates.drop_near_duplicates(docs)
+    same([(r["doc_id"], r["text"]) for r in kept.collect()], [x for x, (_, _, _, k) in zip(rows, want, strict=True) if k])
+    assert kept.columns == docs.columns
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 120, (70, 2))] + [(k, k + 1) for k in range(200, 260)]
