@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 _LETTER = "substr('abcdefghijklmnopqrstuvwxyz', CAST(({}) % 26 AS INT) + 1, 1)"
 _A, _B, _G = (_LETTER.format(x) for x in ("p_partkey", "floor(p_partkey / 7)", "p_partkey % 17"))
 
-#: k, genus, epithet, infra (epithet or empty), rank, author and sign of each part.
+#: Every accented letter that names may be written without, one a part.
+_ACCENTED = "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿÑñÇçčÐðÞþßÆæ"
+_TYPE = "concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2)))"
+#: k, genus (its sign before it), epithet, infra (epithet or empty), rank, author and sign of each part. Names hold what
+#: parsers stumble over: signs apart or not, ligatures, hyphens, fixed spaces, dashes, stray marks and accents.
 BASE = f"""
-SELECT p_partkey AS k, concat(upper(substr(adj, 1, 1)), substr(adj, 2), {_G}) AS genus, concat(noun, {_A}, {_B}) AS epithet,
+SELECT p_partkey AS k,
+  concat(CASE p_partkey % 37 WHEN 0 THEN 'x ' WHEN 1 THEN '×' ELSE '' END, upper(substr(adj, 1, 1)), substr(adj, 2), {_G}, CASE WHEN p_partkey % 43 = 0 THEN 'ë' ELSE '' END) AS genus,
+  concat(CASE WHEN p_partkey % 41 = 0 THEN 'ﬂ' WHEN p_partkey % 47 = 0 THEN 'novae-' ELSE '' END, noun, {_A}, {_B}) AS epithet,
   CASE p_partkey % 5 WHEN 0 THEN concat(noun, {_B}) WHEN 1 THEN concat(noun, {_A}, {_B}) ELSE '' END AS infra,
-  CASE p_partkey % 10 WHEN 0 THEN 'var.' WHEN 1 THEN 'var.' WHEN 5 THEN 'subsp.' WHEN 6 THEN 'subsp.' ELSE '' END AS infra_rank,
-  CASE p_partkey % 9 WHEN 0 THEN '' WHEN 1 THEN 'L.' WHEN 2 THEN '(L.) Smith' WHEN 3 THEN concat('Smith ex ', upper(substr(p_type, 1, 1)), lower(substr(p_type, 2))) WHEN 4 THEN 'Smith in Jones'
-    WHEN 5 THEN '(Bl.) K. Iwats.' WHEN 6 THEN 'auct.' WHEN 7 THEN 'Smith & Jones' ELSE concat(upper(substr(p_type, 1, 1)), lower(substr(p_type, 2)), ' ex Brandt in Flora') END AS author,
-  CASE WHEN p_partkey % 23 = 0 THEN 'x ' ELSE '' END AS sign
+  CASE p_partkey % 20 WHEN 0 THEN 'var.' WHEN 1 THEN 'var.' WHEN 5 THEN 'subsp.' WHEN 6 THEN 'ssp.' WHEN 10 THEN 'f.' WHEN 11 THEN 'var.' WHEN 15 THEN '[infrasp.unranked]' ELSE 'subsp.' END AS infra_rank,
+  CASE p_partkey % 19 WHEN 0 THEN '' WHEN 1 THEN 'L.' WHEN 2 THEN '(L.) Smith' WHEN 3 THEN concat('Smith ex ', {_TYPE}) WHEN 4 THEN 'Smith in Jones' WHEN 5 THEN '(Bl.) K.\u00a0Iwats.'
+    WHEN 6 THEN 'auct.' WHEN 7 THEN 'Smith & Jones' WHEN 8 THEN concat({_TYPE}, ' ex Brandt in Flora') WHEN 9 THEN 'Fée' WHEN 10 THEN 'd’Urv.' WHEN 11 THEN 'auctt.' WHEN 12 THEN 'Smith—Jones'
+    WHEN 13 THEN 'Smith and \u00a0Jones' WHEN 14 THEN '¿Brown' WHEN 15 THEN 'De/Vol "K."' WHEN 16 THEN 'Smith and Jones' ELSE concat('B', substr('{_ACCENTED}', CAST(p_partkey % {len(_ACCENTED)} AS INT) + 1, 1), 'rn.') END AS author,
+  CASE p_partkey % 23 WHEN 0 THEN 'x ' WHEN 1 THEN '×' WHEN 2 THEN '× ' ELSE '' END AS sign
 FROM (SELECT p_partkey, p_type, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part) p
 """
 _NAME = "concat({g}, ' ', {sign}, {e}, CASE WHEN infra = '' THEN '' ELSE concat(' ', {rank}, ' ', infra) END, CASE WHEN {a} = '' THEN '' ELSE concat(' ', {a}) END)"
@@ -31,14 +38,16 @@ def _name(g: str = "genus", sign: str = "sign", e: str = "epithet", rank: str =
 
 _NO_BRACKET = "CASE WHEN author LIKE '(%' THEN substr(author, strpos(author, ')') + 2) ELSE author END"
 _FIRST = "CASE WHEN strpos(author, ' ') > 0 THEN split_part(author, ' ', 1) ELSE author END"
-REFERENCE = f"SELECT name, min(k) AS pos FROM (SELECT k, {_name()} AS name FROM ({BASE}) b WHERE k % 4 <> 3) n GROUP BY name"
+_BARE = "translate({}, 'ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿÑñÇçčÐðÞþß', 'AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuYyyNnCccDdppb')".format("author")
+REFERENCE = f"SELECT name, min(k) AS pos FROM (SELECT k, {_name()} AS name FROM ({BASE}) b) n GROUP BY name"
 QUERY = f"""
 SELECT name, min(k) AS pos FROM (
-  SELECT k, CASE k % 13
+  SELECT k, CASE k % 17
     WHEN 0 THEN {_name()} WHEN 1 THEN {_name(a="''")} WHEN 2 THEN {_name(a=_NO_BRACKET)} WHEN 3 THEN {_name(a="concat('(X.) ', author)")}
     WHEN 4 THEN {_name(e="concat(substr(epithet, 1, length(epithet) - 1), 'q')")} WHEN 5 THEN {_name(rank="'f.'")} WHEN 6 THEN {_name(a=_FIRST)}
     WHEN 7 THEN {_name(a="concat(author, ' ex Young')")} WHEN 8 THEN {_name(a="concat(author, ' in Bull')")} WHEN 9 THEN {_name(a="'auct.'")}
-    WHEN 10 THEN upper({_name()}) WHEN 11 THEN {_name(g="concat(genus, 'zz')")} ELSE replace({_name()}, '. ', '.') END AS name
+    WHEN 10 THEN upper({_name()}) WHEN 11 THEN {_name(g="concat(genus, 'zz')")} WHEN 12 THEN {_name(rank="'ssp.'")} WHEN 13 THEN {_name(a=_BARE)}
+    WHEN 14 THEN concat('  ', replace({_name()}, ' ', '  ')) WHEN 15 THEN {_name(sign="''")} ELSE replace({_name()}, '. ', '.') END AS name
   FROM ({BASE}) b) n GROUP BY name
 """
 #: Parts as taxa: most accepted (with no, an empty or their own accepted id), the others synonyms, some of them dangling.

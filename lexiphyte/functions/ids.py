@@ -20,10 +20,10 @@ def list_hash(names: list[str]) -> str:
 def name_table(spark: SparkSession, names: list[str]) -> DataFrame:
     """``pos, id, name`` of a list; raises on nulls and repeats."""
     if any(x is None for x in names):
-        raise ValueError("Input taxa may not contain NAs")
+        raise ValueError("Names may not be null")
     if not all(isinstance(x, str) for x in names):
         raise TypeError("taxa must be strings")
     if len(set(names)) < len(names):
-        raise ValueError("Input taxa must be unique")
+        raise ValueError("Names must be unique")
     prefix = list_hash(names)
     return spark.createDataFrame([(k, f"{prefix}-{k}", x) for k, x in enumerate(names, 1)], "pos long, id string, name string")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexiphyte.functions.keys import KINDS, PARTS, with_keys
 from lexiphyte.functions.text import blank_to_null
-from lexiphyte.operators.parse import PARSED, parse_with_positions
+from lexiphyte.operators.parse import PARSED, as_names, check_names, check_parse, with_parts
 from lexiphyte.plans.cascade import CANONICAL, UNIQUE, label, probes, within
+from lexiphyte.sources.tables import stored
 
 SIMPLE = ("query", "reference", "match_type")
 FULL = (*SIMPLE, "id_query", "id_ref", *(f"{p}_query" for p in PARTS), *(f"{p}_ref" for p in PARTS))
@@ -20,69 +21,85 @@ def is_parsed(names: Names) -> bool:
     return isinstance(names, DataFrame) and set(PARSED) <= set(names.columns)
 
 
-def parsed(spark: SparkSession, names: Names, what: str = "query", validate: bool | None = None, prefix: str = "df") -> DataFrame:
-    """``pos, id, name`` and parts of names given as a list, a table of names, or a table that is parsed already.
+def loaded(spark: SparkSession, names: Names, what: str, prefix: str = "df") -> DataFrame:
+    """``row, pos, id, name`` and the parts of all names of a list, of a table, or of a table that is parsed already.
 
-    A parsed table has ``pos``, or ids that end in ``-<number>``, as ``parse_names`` makes them. Its ids must be unique.
+    ``row`` tells rows apart and is what everything joins on, so it must be stored before it is used twice; (pos, row) is
+    their order. Without ``pos``, a parsed table is ordered by the numbers that its ids end in, as ``parse_names`` makes
+    them from a list, where they have any, then by place in the scan.
     """
     if isinstance(names, (list, tuple)) or isinstance(names, DataFrame) and "name" in names.columns:
-        if not is_parsed(names):
-            return parse_with_positions(spark, names, validate=validate, prefix=prefix)
-        pos = F.col("pos").cast("long") if "pos" in names.columns else F.try_to_number(F.regexp_extract("id", "([0-9]+)$", 1), F.lit("9" * 18)).cast("long")
-        return names.select(pos.alias("pos"), *("id", "name", *PARTS))
+        if is_parsed(names):
+            number = F.try_to_number(F.regexp_extract("id", "([0-9]{1,18})$", 1), F.lit("9" * 18))
+            pos = F.col("pos") if "pos" in names.columns else F.coalesce(number, F.lit(0))
+            found = names.select(pos.cast("long").alias("pos"), "id", "name", *PARTS)
+        else:
+            found = with_parts(as_names(spark, names, prefix))
+        return found.select(F.monotonically_increasing_id().alias("row"), "pos", "id", "name", *PARTS)
     raise TypeError(f"{what} must be of class DataFrame or list")
 
 
+def prepared(spark: SparkSession, names: Names, what: str, validate: bool | None, prefix: str) -> DataFrame:
+    """The parsed names with their keys, computed once and stored. Checks them unless ``validate`` is False."""
+    every = stored(with_keys(loaded(spark, names, what, prefix)), what)
+    failed = F.col("genus_name") == ""
+    if validate is not False:
+        if is_parsed(names):
+            if every.groupBy("id").count().where("count > 1 OR id IS NULL").limit(1).count():
+                raise ValueError(f"{what}: ids of parsed names must be unique and not null")
+        elif isinstance(names, DataFrame):
+            check_names(every)
+        check_parse(every, failed=failed)
+    return every.where(~failed)
+
+
 def reference_keys(keyed: DataFrame, kinds: set[str] | None = None) -> DataFrame:
-    """``kind, key``: the last reference row with each key (``rpos``) and how many have it (``n``)."""
+    """``kind, key``: the last reference row with each key (``last``: pos, row, id) and how many have it (``n``)."""
     pairs = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"k_{k}").alias("key")) for k in KINDS if kinds is None or k in kinds))
-    return keyed.select("pos", F.explode(pairs).alias("e")).groupBy("e.kind", "e.key").agg(F.max("pos").alias("rpos"), F.count("*").alias("n"))
+    return keyed.select("pos", "row", "id", F.explode(pairs).alias("e")).groupBy("e.kind", "e.key").agg(F.max(F.struct("pos", "row", "id")).alias("last"), F.count("*").alias("n"))
 
 
 def cascade(query: DataFrame, ref: DataFrame, max_dist: float = 10, match_no_auth: bool = False, match_canon: bool = False) -> DataFrame:
-    """``qpos, rpos, match_type`` for keyed tables: a row per query, more where edit distance finds several.
+    """``qrow, rrow, match_type`` for keyed tables: a row per query, more where edit distance finds several.
 
     All lookups of a query go through one join on (kind, key); the reference side is reduced before it, with partial
     aggregation, so a key that very many rows share is one row. A hit on a query's own id doesn't count, and no earlier
     row with the key takes its place. Queries left over meet the references of their genus.
     """
-    looked = query.select(F.col("pos").alias("qpos"), F.col("id").alias("qid"), F.explode(probes(match_no_auth, match_canon)).alias("p")).select("qpos", "qid", "p.*")
-    hits = looked.join(reference_keys(ref), ["kind", "key"])
+    looked = query.select(F.col("row").alias("qrow"), F.col("id").alias("qid"), F.explode(probes(match_no_auth, match_canon)).alias("p")).select("qrow", "qid", "p.*")
+    hits = looked.join(reference_keys(ref), ["kind", "key"]).where("last.id <> qid")
     if match_no_auth:
         hits = hits.where((F.col("pri") != UNIQUE.priority) | (F.col("n") == 1))
-    hits = hits.join(ref.select(F.col("pos").alias("rpos"), F.col("id").alias("rid")), "rpos").where("rid <> qid")
-    best = hits.groupBy("qpos").agg(
-        F.min(F.when(F.col("pri") < CANONICAL.priority, F.struct("pri", "rpos"))).alias("equi"),
-        F.max(F.when(F.col("pri") == CANONICAL.priority, F.col("rpos"))).alias("canon"),
+    row = F.col("last.row")
+    best = hits.groupBy("qrow").agg(
+        F.min(F.when(F.col("pri") < CANONICAL.priority, F.struct("pri", row.alias("rrow")))).alias("equi"),
+        F.max(F.when(F.col("pri") == CANONICAL.priority, row)).alias("canon"),
     )
-    state = query.select(F.col("pos").alias("qpos"), F.col("id").alias("qid"), "genus_name", F.col("k_punct").alias("q"), "auct").join(best, "qpos", "left")
-    settled = state.where(F.col("equi").isNotNull()).select("qpos", F.col("equi.rpos").alias("rpos"), label(F.col("equi.pri")).alias("match_type"))
-    rest = state.where(F.col("equi").isNull()).select("qpos", "qid", "genus_name", "q", "auct", "canon")
-    # A genus is null for auct. queries, so that they meet none; lengths bound the distance from below.
-    blocked = rest.withColumn("g", F.when(~F.col("auct"), F.col("genus_name")))
-    targets = ref.select(F.col("genus_name").alias("rg"), F.col("pos").alias("fpos"), F.col("id").alias("fid"), F.col("k_punct").alias("t"))
+    state = query.select(F.col("row").alias("qrow"), F.col("id").alias("qid"), "genus_name", F.col("k_punct").alias("q"), "auct").join(best, "qrow", "left")
+    # A genus is null for settled and for auct. queries, so that they meet none; lengths bound the distance from below.
+    blocked = state.withColumn("g", F.when(F.col("equi").isNull() & ~F.col("auct"), F.col("genus_name")))
+    targets = ref.select(F.col("genus_name").alias("rg"), F.col("row").alias("frow"), F.col("id").alias("fid"), F.col("k_punct").alias("t"))
     near = (F.col("g") == F.col("rg")) & (F.col("fid") != F.col("qid")) & (F.abs(F.length("q") - F.length("t")) <= F.lit(float(max_dist))) & within(F.col("q"), F.col("t"), max_dist)
     fuzzy = blocked.join(targets, near, "left")
-    loose = fuzzy.select(
-        "qpos",
-        F.coalesce("fpos", "canon").alias("rpos"),
-        F.when(F.col("fpos").isNotNull(), "auto_fuzzy").when(F.col("canon").isNotNull(), CANONICAL.label).otherwise("no_match").alias("match_type"),
+    return fuzzy.select(
+        "qrow",
+        F.coalesce("equi.rrow", "frow", "canon").alias("rrow"),
+        F.when(F.col("equi").isNotNull(), label(F.col("equi.pri"))).when(F.col("frow").isNotNull(), "auto_fuzzy").when(F.col("canon").isNotNull(), CANONICAL.label).otherwise("no_match").alias("match_type"),
     )
-    return settled.unionByName(loose)
 
 
 def collapsed(query: DataFrame, exclude: list[str] | None) -> tuple[DataFrame, DataFrame]:
-    """Queries whose infraspecific epithet repeats the species' lose it; names equal then are one. Also ``id, key_id``."""
-    same = F.coalesce(F.col("specific_epithet") == F.col("infraspecific_epithet"), F.lit(False))
+    """Queries whose infraspecific epithet repeats the species' lose it; names equal then are one. Also, for every query,
+    ``query`` (its name) and ``qrow``, the row of the one that stands for it."""
+    same = (F.col("specific_epithet") == F.col("infraspecific_epithet")) & (F.col("specific_epithet") != "")
     if exclude:
         same = same & ~F.coalesce(F.col("name").isin(list(exclude)), F.lit(False))
-    cut = query.withColumns({p: F.when(~same, F.col(p)) for p in ("infraspecific_rank", "infraspecific_epithet")})
+    cut = query.select("row", "pos", "id", "name", *(F.when(~same, F.col(p)).otherwise("").alias(p) if p.startswith("infraspecific") else p for p in PARTS))
     # The parts run together without separators, null as NA: names that read alike so count as one.
-    cut = cut.withColumn("string", F.concat(*(F.coalesce(F.col(p), F.lit("NA")) for p in PARTS), F.lit("_")))
-    first = cut.groupBy("string").agg(F.min("pos").alias("pos"))
-    kept = cut.join(first.select("pos"), "pos", "left_semi")
-    ids = cut.select("id", "string").join(kept.select("string", F.col("id").alias("key_id")), "string").select("id", "key_id")
-    return kept.drop("string"), ids
+    cut = cut.withColumn("string", F.concat(*(F.coalesce(blank_to_null(F.col(p)), F.lit("NA")) for p in PARTS), F.lit("_")))
+    first = cut.groupBy("string").agg(F.min(F.struct("pos", "row")).alias("m")).select("string", F.col("m.row").alias("qrow"))
+    kept = cut.join(first.select(F.col("qrow").alias("row")), "row", "left_semi").drop("string")
+    return kept, cut.join(first, "string").select(F.col("name").alias("query"), "qrow")
 
 
 def match_names(
@@ -102,32 +119,32 @@ def match_names(
 
     ``manual_match`` (columns ``query``, ``match``; unique queries) overrides queries given as names. With
     ``collapse_infra``, a query like *Aus bus var. bus* is matched as *Aus bus*, unless its full name is excluded.
-    Queries that can't be parsed are left out. Lists are checked at once, tables only if ``validate``.
+    Queries that can't be parsed are left out. Both sides are parsed and given their keys at once, and stored where
+    executors share a folder, so that no branch of the plan does it again; what comes after is lazy. Unless ``validate``
+    is False, repeated or null names, and repeated or null ids of parsed tables, raise, and names that can't be parsed warn.
     """
     _check(query, reference, max_dist, match_no_auth, match_canon, collapse_infra, simple)
     replaced = None
     if manual_match is not None:
         query, replaced = _manual(spark, query, manual_match)
     # Tables without ids get them by side; a table matched to itself has the same on both, as equal lists have.
-    left = parsed(spark, query, "query", validate, "df" if query is reference else "q")
-    right = parsed(spark, reference, "reference", validate, "df" if query is reference else "r")
+    q = prepared(spark, query, "query", validate, "df" if query is reference else "q")
+    r = prepared(spark, reference, "reference", validate, "df" if query is reference else "r")
     if manual_match is not None:
-        known = right.select(F.col("name").alias("match"))
+        known = r.select(F.col("name").alias("match"))
         if manual_match.join(known, "match", "left_anti").limit(1).count():
-            raise ValueError("One or more manually matched reference names not in reference data")
-    original = left
+            raise ValueError("manual_match names references that are not there")
     if collapse_infra:
-        left, ids = collapsed(left, collapse_infra_exclude)
-    q, r = with_keys(left), with_keys(right)
+        left, stands_for = collapsed(q, collapse_infra_exclude)
+        q = stored(with_keys(left), "query-collapsed")
     pairs = cascade(q, r, max_dist, match_no_auth, match_canon)
     out = (
-        pairs.join(q.select(F.col("pos").alias("qpos"), F.col("name").alias("query"), F.col("id").alias("id_query"), *(blank_to_null(F.col(p)).alias(f"{p}_query") for p in PARTS)), "qpos")
-        .join(r.select(F.col("pos").alias("rpos"), F.col("name").alias("reference"), F.col("id").alias("id_ref"), *(blank_to_null(F.col(p)).alias(f"{p}_ref") for p in PARTS)), "rpos", "left")
-        .select(*FULL)
+        pairs.join(q.select(F.col("row").alias("qrow"), F.col("name").alias("query"), F.col("id").alias("id_query"), *(blank_to_null(F.col(p)).alias(f"{p}_query") for p in PARTS)), "qrow")
+        .join(r.select(F.col("row").alias("rrow"), F.col("name").alias("reference"), F.col("id").alias("id_ref"), *(blank_to_null(F.col(p)).alias(f"{p}_ref") for p in PARTS)), "rrow", "left")
     )
     if collapse_infra:
-        names = original.select(F.col("name").alias("query"), "id").join(ids, "id").select("query", F.col("key_id").alias("id_query"))
-        out = names.join(out.drop("query"), "id_query", "left").select(*FULL)
+        out = out.drop("query").join(stands_for, "qrow")
+    out = out.select(*FULL)
     if replaced is not None:
         both = replaced.join(out.withColumnRenamed("query", "query_new"), "query_new")
         out = both.withColumn("match_type", F.when(F.col("manual"), "manual").otherwise(F.col("match_type"))).select("query", "query_new", *FULL[1:])

@@ -13,6 +13,8 @@ from lexiphyte.functions.keys import PARTS
 from lexiphyte.functions.text import NAME_PATTERN, PART_PATTERNS, blank_to_null, depunct, squeeze
 
 PARSED = ("name", "id", *PARTS)
+#: Names that a warning spells out.
+SHOWN = 20
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -73,25 +75,30 @@ def as_names(spark: SparkSession, names: list[str] | DataFrame, prefix: str = "d
     return out if "id" in out.columns else out.select("pos", F.concat(F.lit(f"{prefix}-"), F.col("pos").cast("string")).alias("id"), "name")
 
 
-def check_parse(tried: DataFrame, quiet: bool = False) -> None:
-    """Raise if nothing could be parsed, warn of what couldn't. An action."""
-    failed = F.col("genus_name").isNull()
-    total, bad, some = tried.agg(F.count("*"), F.count_if(failed), F.array_sort(F.slice(F.collect_list(F.when(failed, F.col("name"))), 1, 1000))).first() if _few(tried) else (*tried.agg(F.count("*"), F.count_if(failed)).first(), None)
-    if total == bad:
-        raise ValueError("No names could be successfully parsed")
-    if bad and not quiet:
-        listed = ", ".join(some) if some is not None else f"{bad} names; see rejected_names()"
-        warnings.warn(f"Names that could not be parsed are left out: {listed}", stacklevel=3)
+def check_names(names: DataFrame) -> None:
+    """Raise on nulls and repeats among the names of a table. An action."""
+    repeated = names.groupBy("name").count().where("count > 1 OR name IS NULL").limit(1).collect()
+    if repeated:
+        raise ValueError("Names may not be null" if repeated[0]["name"] is None else f"Names occur more than once, such as {repeated[0]['name']!r}")
 
 
-def _few(df: DataFrame) -> bool:
-    """Whether the table is a list from the driver, so that its failures fit into a message."""
-    return "LocalRelation" in df._jdf.queryExecution().optimizedPlan().toString() or "LogicalRDD" in df._jdf.queryExecution().optimizedPlan().toString()
+def check_parse(tried: DataFrame, quiet: bool = False, failed: Column | None = None) -> None:
+    """Raise if nothing of a table with rows could be parsed, warn of what couldn't. An action."""
+    failed = F.col("genus_name").isNull() if failed is None else failed
+    total, bad = tried.agg(F.count("*"), F.count_if(failed)).first()
+    if total and total == bad:
+        raise ValueError("None of the names can be parsed")
+    if bad and not quiet:
+        listed = [r[0] for r in tried.where(failed).orderBy("pos").limit(SHOWN).select("name").collect()]
+        rest = f" and {bad - len(listed)} more; see rejected_names()" if bad > len(listed) else ""
+        warnings.warn(f"Names that could not be parsed are left out: {', '.join(listed)}{rest}", stacklevel=3)
 
 
 def parse_with_positions(spark: SparkSession, names: list[str] | DataFrame, quiet: bool = False, validate: bool | None = None, prefix: str = "df") -> DataFrame:
-    tried = with_parts(as_names(spark, names, prefix))
+    given = as_names(spark, names, prefix)
+    tried = with_parts(given)
     if validate if validate is not None else isinstance(names, (list, tuple)):
+        check_names(given)
         check_parse(tried, quiet)
     return tried.where(F.col("genus_name").isNotNull())
 
@@ -100,7 +107,7 @@ def parse_names(spark: SparkSession, names: list[str] | DataFrame, quiet: bool =
     """``name, id`` and seven parts of every name that can be parsed; the others are left out.
 
     A list is checked at once: it must be unique, without nulls and hold a parseable name; others bring a warning unless
-    ``quiet``. A table stays lazy unless ``validate``.
+    ``quiet``. A table stays lazy, and what can't be parsed in it goes without a word, unless ``validate``.
     """
     return parse_with_positions(spark, names, quiet, validate).select(*PARSED)
 

@@ -16,7 +16,8 @@ def classify(matches: DataFrame) -> DataFrame:
     if not isinstance(matches, DataFrame):
         raise TypeError("match_results must be of class DataFrame")
     n = F.count("*").over(Window.partitionBy("query"))
-    return matches.withColumn("result_type", F.when(F.col("match_type") == "no_match", "no_match").when(n == 1, "single_match").otherwise("mult_match"))
+    unknown = F.when(F.col("match_type").isNull(), F.raise_error(F.lit("match_type must not be null")))
+    return matches.withColumn("result_type", unknown.when(F.col("match_type") == "no_match", "no_match").when(n == 1, "single_match").otherwise("mult_match"))
 
 
 def resolve_names(spark: SparkSession, query: Names, taxonomy: DataFrame, max_dist: float = 10, match_no_auth: bool = False, match_canon: bool = False, collapse_infra: bool = False, collapse_infra_exclude: list[str] | None = None) -> DataFrame:

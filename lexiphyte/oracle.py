@@ -1,11 +1,34 @@
-"""The name operators once more as SQL for DuckDB, written from their rules and used only to check results."""
+"""The name operators once more as SQL for DuckDB, written from their rules and used only to check results.
+
+Nothing here comes from the modules under check but the synthetic names themselves: patterns, letters and the list of
+rules are stated anew.
+"""
 
 from __future__ import annotations
 
 from lexiphyte.corpus import QUERY, REFERENCE, TAXONOMY
-from lexiphyte.functions.keys import KINDS, PARTS
-from lexiphyte.functions.text import NAME_PATTERN, PART_PATTERNS, PLAIN_FROM, PLAIN_TO
-from lexiphyte.plans.cascade import CANONICAL, RULES
+
+PARTS = ("genus_hybrid_sign", "genus_name", "species_hybrid_sign", "specific_epithet", "infraspecific_rank", "infraspecific_epithet", "author")
+KINDS = ("exact", "punct", "noauth", "cfonly", "irank", "basio", "in", "exin", "basexin")
+
+#: Letters that stand for others, by what they become.
+_LETTERS = {
+    "A": "ÀÁÂÃÄÅ", "C": "Ç", "D": "Ð", "E": "ÈÉÊË", "I": "ÌÍÎÏ", "N": "Ñ", "O": "ÒÓÔÕÖØ", "U": "ÙÚÛÜ", "Y": "Ý",
+    "a": "àáâãäå", "b": "ß", "c": "çč", "d": "ð", "e": "èéêë", "i": "ìíîï", "n": "ñ", "o": "òóôõöø", "p": "Þþ", "u": "ùúûü", "y": "ýÿ", "ae": "æ", "Ae": "Æ",
+}
+_SIGN, _LIGATURE, _GRAVES = "×", "ﬂ", "̧̦̀́̂̃̆̈̊̌"
+_RANK = "|".join([*(r + r"\." for r in ("var", "f", "subf", "fo", "subsp", "prol", "nothovar", "lus")), "forma", "taxon", r"\[infrasp\.unranked\]"])
+#: Each part with the blanks around it, in its place in a whole name; and what it must be when it stands alone.
+_WHOLE = [
+    f"([xX{_SIGN}]?) ?", "([A-Z][-a-zë]+) ?", f"([xX{_SIGN}]? |[X{_SIGN}]?) ?", f"([-a-z{_LIGATURE}][-a-z{_LIGATURE}]+)? ?", f"({_RANK})? ?", f"([-_a-z{_LIGATURE}]+)? ?",
+    rf"([-\]\[ ().&;,'’\p{{L}}\p{{N}}{_GRAVES}]+)?",
+]
+_ALONE = [f"[xX{_SIGN}]?", "[A-Z][-a-zë]+", f"[xX{_SIGN}]?", f"[-a-z{_LIGATURE}]{{2,}}", r"(?:[a-z]+\.?|\[infrasp\.unranked\])?", f"(?:[-a-z{_LIGATURE}][-_a-z{_LIGATURE}]+)?"]
+#: Priority, label, the query's key, the reference's key.
+_RULES = [
+    (1, "exact", "exact", "exact"), (2, "auto_punct", "punct", "punct"), (3, "auto_noauth", "noauth", "noauth"), (4, "auto_basio-", "punct", "basio"), (5, "auto_basio+", "basio", "punct"), (6, "auto_in-", "punct", "in"),
+    (7, "auto_in+", "in", "punct"), (8, "auto_exin-", "punct", "exin"), (9, "auto_exin+", "exin", "punct"), (10, "auto_basexin", "basexin", "basexin"), (11, "auto_irank", "irank", "irank"), (13, "auto_cfonly", "cfonly", "cfonly"),
+]
 
 
 def _s(text: str) -> str:
@@ -17,47 +40,51 @@ def _sub(x: str, pattern: str, to: str) -> str:
 
 
 def _squeeze(x: str) -> str:
-    return f"trim({_sub(x, ' +', ' ')})"
+    return _sub(_sub(x, " {2,}", " "), "^ | $", "")
 
 
 def _depunct(x: str) -> str:
-    x = f"replace(replace(translate({x}, '{PLAIN_FROM}', '{PLAIN_TO}'), 'æ', 'ae'), 'Æ', 'Ae')"
-    return f"lower({_sub(_sub(f'translate({x}, $$()$$, $$__$$)', ' (and|et.?)  ', ' & '), '[^A-Za-z0-9&×]', '')})"
-
-
-def parsed(source: str, prefix: str) -> str:
-    """pos, id, name and parts (null where empty) of a (name, pos) query; only what parses."""
-    found = _sub("clean", NAME_PATTERN, r"\1|\2|\3|\4|\5|\6|\7")
-    for pattern, to in ((r" *\|", "|"), (r"\|(auctt?)\|\.", r"||\1."), (r"\|d\|", "||d"), (r"\|[xX]\|", "|×|"), (r"^[xX]\|", "×|")):
-        found = _sub(found, pattern, to)
-    remade = _sub(_sub("replace(found, '|', ' ')", "  +", " "), "^ | $", "")
-    good = " AND ".join(f"regexp_matches(f[{k + 1}], {_s(p)})" for k, p in enumerate(PART_PATTERNS))
-    parts = ", ".join(f"nullif(f[{k + 1}], '') AS {p}" for k, p in enumerate(PARTS))
-    clean = f"translate(replace({_squeeze('name')}, ' ssp. ', ' subsp. '), ' —¿/\"', ' -')"
+    for plain, letters in _LETTERS.items():
+        x = _sub(x, f"[{letters}]", plain) if len(letters) > 1 else f"replace({x}, '{letters}', '{plain}')"
+    return f"lower({_sub(_sub(_sub(x, '[()]', '_'), ' (?:and|et.?)  ', ' & '), f'[^a-zA-Z0-9&{_SIGN}]', '')})"
+
+
+def parsed(source: str, prefix: str | None) -> str:
+    """pos, id, name and parts (null where empty) of a (name, pos) query, or one with an id of its own; only what parses."""
+    clean = f"replace(replace({_sub(f"replace({_squeeze('name')}, ' ssp. ', ' subsp. ')", '[¿/\"]', '')}, chr(160), ' '), chr(8212), '-')"
+    found = _sub("clean", f"^{''.join(_WHOLE)}$", "|".join(f"\\{k}" for k in range(1, 8)))
+    found = _sub(found, r" *\|", "|")
+    found = _sub(_sub(found, r"\|(auctt?)\|\.", r"||\1."), r"\|d\|", "||d")
+    found = _sub(_sub(found, r"\|[xX]\|", f"|{_SIGN}|"), r"^[xX]\|", f"{_SIGN}|")
+    remade = _sub(_sub("replace(found, '|', ' ')", " {2,}", " "), "^ | $", "")
+    good = " AND ".join(f"regexp_full_match(f[{k}], {_s(p)})" for k, p in enumerate(_ALONE, 1))
+    parts = ", ".join(f"CASE WHEN f[{k}] <> '' THEN f[{k}] END AS {p}" for k, p in enumerate(PARTS, 1))
+    own = "id" if prefix is None else f"'{prefix}-' || pos AS id"
     return f"""
-SELECT pos, '{prefix}-' || pos AS id, name, {parts} FROM (
+SELECT pos, {own}, name, {parts} FROM (
   SELECT *, string_split(found, '|') AS f FROM (SELECT *, {found} AS found FROM (SELECT *, {clean} AS clean FROM ({source}) s) c) d)
-WHERE len(f) = 7 AND NOT contains(name, '|') AND {good} AND replace({_depunct(remade)}, '×', 'x') = replace({_depunct("clean")}, '×', 'x')"""
+WHERE len(f) = 7 AND NOT contains(name, '|') AND {good} AND replace({_depunct(remade)}, '{_SIGN}', 'x') = replace({_depunct("clean")}, '{_SIGN}', 'x')"""
 
 
 def keyed(source: str) -> str:
-    xg, g, xs, s, rank, infra, a = (f"coalesce({p}, '')" for p in PARTS)
-    stem = f"concat({xg}, {g}, {xs}, {s}, {rank}, {infra})"
-    first = f"regexp_replace({a}, '^\\([^)]+\\)', '')"
-    exin = f"regexp_replace({a}, ' ([eE]x|[iI]n) .*$', '')"
+    """The parsed names with their nine keys, from the parts squeezed and never null."""
+    parts = ", ".join(f"{_squeeze(f"coalesce({p}, '')")} AS p{k}" for k, p in enumerate(PARTS, 1))
+    stem = "p1 || p2 || p3 || p4 || p5 || p6"
+    bracket, ex_in = r"^\([^)]+\)", " (?:[eE]x|[iI]n) .*$"
+    once = lambda pattern: f"regexp_replace(p7, {_s(pattern)}, '')"
     keys = {
-        "exact": _squeeze(f"concat_ws(' ', {xg}, {g}, {xs}, {s}, {rank}, {infra}, {a})"),
-        "punct": _depunct(f"concat({stem}, {a})"),
+        "exact": _squeeze("p1 || ' ' || p2 || ' ' || p3 || ' ' || p4 || ' ' || p5 || ' ' || p6 || ' ' || p7"),
+        "punct": _depunct(f"{stem} || p7"),
         "noauth": _depunct(stem),
-        "cfonly": _depunct(f"concat({g}, {s}, {infra})"),
-        "irank": _depunct(f"concat({xg}, {g}, {xs}, {s}, {infra}, {a})"),
-        "basio": _depunct(f"concat({stem}, {first})"),
-        "in": _depunct(f"concat({stem}, regexp_replace({a}, ' [iI]n .*$', ''))"),
-        "exin": _depunct(f"concat({stem}, {exin})"),
-        "basexin": _depunct(f"concat({stem}, CASE WHEN regexp_matches({a}, '^\\([^)]+\\)') THEN {first} ELSE {exin} END)"),
+        "cfonly": _depunct("p2 || p4 || p6"),
+        "irank": _depunct("p1 || p2 || p3 || p4 || p6 || p7"),
+        "basio": _depunct(f"{stem} || {once(bracket)}"),
+        "in": _depunct(f"{stem} || {once(' [iI]n .*$')}"),
+        "exin": _depunct(f"{stem} || {once(ex_in)}"),
+        "basexin": _depunct(f"{stem} || {once(f'(?:{bracket}|{ex_in})')}"),
     }
     columns = ", ".join(f"{keys[k]} AS k_{k}" for k in KINDS)
-    return f"SELECT *, {columns}, {a} = '' AS no_author, regexp_matches({a}, '^auct\\.?$') AS auct FROM ({source}) p"
+    return f"SELECT * EXCLUDE (p1, p2, p3, p4, p5, p6, p7), {columns}, p7 = '' AS no_author, p7 IN ('auct', 'auct.') AS auct FROM (SELECT *, {parts} FROM ({source}) p) w"
 
 
 def _within(k: float) -> str:
@@ -67,46 +94,42 @@ def _within(k: float) -> str:
   AND d < levenshtein(left(q, -1), t) + 1)))"""
 
 
-def matched(q: str, r: str, k: float = 10, no_auth: bool = False, canon: bool = False) -> str:
-    """CTEs up to ``out``: qpos, rpos, match_type for parsed queries."""
-    rules = [x for x in RULES if no_auth or x.label != "auto_noauth"] + ([CANONICAL] if canon else [])
-    probes = " UNION ALL ".join(f"SELECT pos AS qpos, id AS qid, {x.priority} AS pri, '{x.label}' AS label, '{x.ref_kind}' AS kind, k_{x.query_kind} AS key FROM q" + (" WHERE no_author" if x.label == "auto_noauth" else "") for x in rules)
-    keys = " UNION ALL ".join(f"SELECT '{x}' AS kind, k_{x} AS key, pos FROM r" for x in KINDS)
+def matched(q: str, r: str, k: float = 10, no_auth: bool = False, canon: bool = False, order: str = "pos") -> str:
+    """CTEs up to ``out``: qpos, rpos, match_type for parsed queries. ``order`` puts the references in order."""
+    rules = [x for x in _RULES if (no_auth or x[0] != 3) and (canon or x[0] != 13)]
+    probes = " UNION ALL ".join(f"SELECT pos AS qpos, id AS qid, {pri} AS pri, '{label}' AS label, '{to}' AS kind, k_{of} AS key FROM q" + (" WHERE no_author" if pri == 3 else "") for pri, label, of, to in rules)
+    keys = " UNION ALL ".join(f"SELECT '{x}' AS kind, k_{x} AS key, id, {order} AS place FROM r" for x in KINDS)
     return f"""
 q AS MATERIALIZED ({keyed(q)}), r AS MATERIALIZED ({keyed(r)}),
-rk AS (SELECT kind, key, max(pos) AS rpos, count(*) AS n FROM ({keys}) GROUP BY kind, key),
-hits AS (SELECT p.qpos, p.pri, p.label, rk.rpos FROM ({probes}) p JOIN rk USING (kind, key) JOIN r ON r.pos = rk.rpos WHERE r.id <> p.qid AND (p.pri <> 3 OR rk.n = 1)),
-equi AS (SELECT qpos, arg_min(rpos, pri) AS rpos, arg_min(label, pri) AS match_type FROM hits WHERE pri <= 11 GROUP BY qpos),
+rk AS (SELECT kind, key, arg_max(id, place) AS rid, count(*) AS n FROM ({keys}) GROUP BY kind, key),
+hits AS (SELECT p.qpos, p.pri, p.label, rk.rid FROM ({probes}) p JOIN rk USING (kind, key) WHERE rk.rid <> p.qid AND (p.pri <> 3 OR rk.n = 1)),
+equi AS (SELECT qpos, arg_min(rid, pri) AS rid, arg_min(label, pri) AS match_type FROM hits WHERE pri <= 11 GROUP BY qpos),
 rest AS (SELECT * FROM q WHERE pos NOT IN (SELECT qpos FROM equi)),
-fuzzy AS (SELECT qpos, rpos, 'auto_fuzzy' AS match_type FROM (
-  SELECT rest.pos AS qpos, r.pos AS rpos, replace(rest.k_punct, '×', '#') AS q, replace(r.k_punct, '×', '#') AS t, levenshtein(replace(rest.k_punct, '×', '#'), replace(r.k_punct, '×', '#')) AS d
+fuzzy AS (SELECT qpos, rid, 'auto_fuzzy' AS match_type FROM (
+  SELECT rest.pos AS qpos, r.id AS rid, replace(rest.k_punct, '×', '#') AS q, replace(r.k_punct, '×', '#') AS t, levenshtein(replace(rest.k_punct, '×', '#'), replace(r.k_punct, '×', '#')) AS d
   FROM rest JOIN r ON rest.genus_name = r.genus_name AND r.id <> rest.id WHERE NOT rest.auct) WHERE {_within(k)}),
-loose AS (SELECT hits.qpos, hits.rpos, label AS match_type FROM hits JOIN rest ON rest.pos = hits.qpos WHERE pri = 13 AND hits.qpos NOT IN (SELECT qpos FROM fuzzy)),
+loose AS (SELECT hits.qpos, hits.rid, label AS match_type FROM hits JOIN rest ON rest.pos = hits.qpos WHERE pri = 13 AND hits.qpos NOT IN (SELECT qpos FROM fuzzy)),
 settled AS (SELECT * FROM equi UNION ALL SELECT * FROM fuzzy UNION ALL SELECT * FROM loose),
 out AS (SELECT * FROM settled UNION ALL SELECT pos, NULL, 'no_match' FROM q WHERE pos NOT IN (SELECT qpos FROM settled))"""
 
 
-SIMPLE = "SELECT q.name AS query, r.name AS reference, match_type FROM out JOIN q ON q.pos = out.qpos LEFT JOIN r ON r.pos = out.rpos"
+_ROWS = "FROM out JOIN q ON q.pos = out.qpos LEFT JOIN r ON r.id = out.rid"
+SIMPLE = f"SELECT q.name AS query, r.name AS reference, match_type {_ROWS}"
 FULL = (
     "SELECT q.name AS query, r.name AS reference, match_type, q.id AS id_query, r.id AS id_ref, "
-    + ", ".join(f"nullif(q.{p}, '') AS {p}_query" for p in PARTS)
+    + ", ".join(f"q.{p} AS {p}_query" for p in PARTS)
     + ", "
-    + ", ".join(f"nullif(r.{p}, '') AS {p}_ref" for p in PARTS)
-    + " FROM out JOIN q ON q.pos = out.qpos LEFT JOIN r ON r.pos = out.rpos"
+    + ", ".join(f"r.{p} AS {p}_ref" for p in PARTS)
+    + f" {_ROWS}"
 )
 
 
-def match(select: str = SIMPLE, query: str = QUERY, reference: str = REFERENCE, ids: tuple[str, str] = ("q", "r"), **options) -> str:
+def match(select: str = SIMPLE, query: str = QUERY, reference: str = REFERENCE, ids: tuple[str | None, str | None] = ("q", "r"), **options) -> str:
     return f"WITH {matched(parsed(query, ids[0]), parsed(reference, ids[1]), **options)} {select}"
 
 
 def rule(label: str) -> str:
-    x = next(x for x in (*RULES, CANONICAL) if x.label == label)
-    gate = " AND q.no_author AND rk.n = 1" if label == "auto_noauth" else ""
-    return f"""
-WITH q AS ({keyed(parsed(QUERY, "q"))}), r AS ({keyed(parsed(REFERENCE, "r"))}),
-rk AS (SELECT k_{x.ref_kind} AS key, max(pos) AS rpos, count(*) AS n FROM r GROUP BY 1)
-SELECT q.name AS query, r.name AS reference FROM q JOIN rk ON rk.key = q.k_{x.query_kind} JOIN r ON r.pos = rk.rpos WHERE r.id <> q.id{gate}"""
+    return match(f"{SIMPLE} WHERE match_type = '{label}'", k=3, no_auth=True, canon=True)
 
 
 def collapse(query: str) -> str:
@@ -119,19 +142,19 @@ def collapse(query: str) -> str:
 
 COLLAPSED = f"""
 WITH {collapse(QUERY)}, {matched("SELECT * EXCLUDE (key_pos) FROM c WHERE pos = key_pos", parsed(REFERENCE, "r"))}
-SELECT c.name AS query, r.name AS reference, match_type FROM c JOIN out ON out.qpos = c.key_pos LEFT JOIN r ON r.pos = out.rpos"""
+SELECT c.name AS query, r.name AS reference, match_type FROM c JOIN out ON out.qpos = c.key_pos LEFT JOIN r ON r.id = out.rid"""
 
-MANUAL = f"SELECT a.name AS query, b.name AS match FROM ({QUERY}) a JOIN ({REFERENCE}) b ON a.pos = b.pos WHERE a.pos % 26 = 4"
+MANUAL = f"SELECT a.name AS query, b.name AS match FROM ({QUERY}) a JOIN ({REFERENCE}) b ON a.pos = b.pos WHERE a.name LIKE '%zz %'"
 _REPLACED = f"SELECT a.pos, a.name AS query, coalesce(m.match, a.name) AS query_new, m.query IS NOT NULL AS manual FROM ({QUERY}) a LEFT JOIN ({MANUAL}) m ON m.query = a.name"
 _NEW = "SELECT query_new AS name, min(pos) AS pos FROM replaced GROUP BY query_new"
 MANUALLY = f"""
 WITH replaced AS MATERIALIZED ({_REPLACED}), {matched(parsed(_NEW, "q"), parsed(REFERENCE, "r"))}
 SELECT replaced.query, r.name AS reference, CASE WHEN manual THEN 'manual' ELSE match_type END AS match_type
-FROM replaced JOIN q ON q.name = replaced.query_new JOIN out ON out.qpos = q.pos LEFT JOIN r ON r.pos = out.rpos"""
+FROM replaced JOIN q ON q.name = replaced.query_new JOIN out ON out.qpos = q.pos LEFT JOIN r ON r.id = out.rid"""
 MANUALLY_COLLAPSED = f"""
 WITH replaced AS MATERIALIZED ({_REPLACED}), {collapse(_NEW)}, {matched("SELECT * EXCLUDE (key_pos) FROM c WHERE pos = key_pos", parsed(REFERENCE, "r"))}
 SELECT replaced.query, r.name AS reference, CASE WHEN manual THEN 'manual' ELSE match_type END AS match_type
-FROM replaced JOIN c ON c.name = replaced.query_new JOIN out ON out.qpos = c.key_pos LEFT JOIN r ON r.pos = out.rpos"""
+FROM replaced JOIN c ON c.name = replaced.query_new JOIN out ON out.qpos = c.key_pos LEFT JOIN r ON r.id = out.rid"""
 
 CLASSIFIED = f"""SELECT *, CASE WHEN match_type = 'no_match' THEN 'no_match' WHEN count(*) OVER (PARTITION BY query) = 1 THEN 'single_match' ELSE 'mult_match' END AS result_type FROM ({match()}) m"""
 
