@@ -198,12 +198,12 @@ def grouped(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY,
         common = F.size(F.array_intersect("x", "y"))
         return stored(both.where(100 * common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b"), f"{label}-links")
 
-    hub = prefix.groupBy("key").agg(F.min("c").alias("a"), F.count("*").alias("k")).where("k > 1")
-    links = confirmed(prefix.join(hub, "key").where("c <> a").select("a", F.col("c").alias("b")).distinct(), "hub")
+    hub = prefix.groupBy("key").agg(F.min("c").alias("a"), F.count("*").alias("k"), F.max("f").alias("f")).where("k > 1")
+    links = confirmed(_dealt(prefix, hub).where("c <> a").select("a", F.col("c").alias("b")).distinct(), "hub")
     labels = components(links).withColumnRenamed("node", "c").withColumnRenamed("root", "comp")
-    posted = prefix.join(labels, "c", "left").select("key", "c", F.coalesce("comp", "c").alias("comp"))
-    mixed_lists = posted.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "k")
-    posted = stored(posted.join(mixed_lists, "key"), "mixed-lists")
+    posted = prefix.join(labels, "c", "left").select("key", "f", "c", F.coalesce("comp", "c").alias("comp"))
+    mixed_lists = posted.groupBy("key").agg(F.count("*").alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("f").alias("f")).where("lo <> hi").select("key", "k", "f")
+    posted = stored(_dealt(posted, mixed_lists).select("key", "f", "c", "comp", "k"), "mixed-lists")
 
     short = posted.where(F.col("k") <= LARGE).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("c", "comp"))).alias("m"))  # at most LARGE members
     pairs = short.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y: (y["c"] > x["c"]) & (y["comp"] != x["comp"])), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))).alias("p"))
@@ -229,6 +229,15 @@ def grouped(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY,
     return rows.join(cold, "c", "left").select("id", "t", "n", component.alias("component"))
 
 
+def _dealt(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Members of posting lists joined to what holds for their lists, by ``key`` and a part of it.
+
+    ``f``, of members and lists alike, says how long a list may be; one of more than BLOCK is met in so many parts.
+    """
+    parts = F.ceil(F.col("f") / BLOCK)
+    return members.withColumn("part", F.pmod(F.xxhash64("c"), parts)).join(lists.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("f"), ["key", "part"]).drop("part")
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents linked by ``100 * |A & B| >= similarity * |A | B|`` on their sets of word shingles.
 
@@ -258,10 +267,10 @@ def _block_rows(posted: DataFrame) -> DataFrame:
     A list's most frequent component is linked in itself, so its members only meet the others, and the others each
     other: the rows grow with the members outside it, not with the list's square.
     """
-    sizes = posted.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("k")).select("key", F.col("t.comp").alias("main"), F.col("t.m").alias("m"), (F.col("k") - F.col("t.m")).alias("r"))
+    sizes = posted.groupBy("key", "comp").agg(F.count("*").alias("m"), F.max("f").alias("f"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("t"), F.sum("m").alias("k"), F.max("f").alias("f")).select("key", "f", F.col("t.comp").alias("main"), F.col("t.m").alias("m"), (F.col("k") - F.col("t.m")).alias("r"))
     others, mains = F.ceil(F.col("r") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = posted.join(top, "key").select("key", "c", "comp", (F.col("comp") == F.col("main")).alias("inner"), others.alias("no"), mains.alias("nm"))
+    rows = _dealt(posted, top).select("key", "c", "comp", (F.col("comp") == F.col("main")).alias("inner"), others.alias("no"), mains.alias("nm"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("c"), F.when(F.col("inner"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
     # Blocks of the others are 0 to no - 1, those of the main component -1 to -nm.
     with_others = F.transform(F.sequence(F.lit(0), F.col("no") - 1), lambda x: F.struct(F.when(F.col("inner"), -1 - F.col("own")).otherwise(F.least("own", x)).alias("u"), F.when(F.col("inner"), x).otherwise(F.greatest("own", x)).alias("v")))
