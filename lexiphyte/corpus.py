@@ -39,6 +39,7 @@ def _name(g: str = "genus", sign: str = "sign", e: str = "epithet", rank: str =
 _NO_BRACKET = "CASE WHEN author LIKE '(%' THEN substr(author, strpos(author, ')') + 2) ELSE author END"
 _FIRST = "CASE WHEN strpos(author, ' ') > 0 THEN split_part(author, ' ', 1) ELSE author END"
 _BARE = "translate({}, 'ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿÑñÇçčÐðÞþß', 'AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOOooooooUUUUuuuuYyyNnCccDdppb')".format("author")
+_UPPER = f"upper({_name()})"
 REFERENCE = f"SELECT name, min(k) AS pos FROM (SELECT k, {_name()} AS name FROM ({BASE}) b) n GROUP BY name"
 QUERY = f"""
 SELECT name, min(k) AS pos FROM (
@@ -46,7 +47,7 @@ SELECT name, min(k) AS pos FROM (
     WHEN 0 THEN {_name()} WHEN 1 THEN {_name(a="''")} WHEN 2 THEN {_name(a=_NO_BRACKET)} WHEN 3 THEN {_name(a="concat('(X.) ', author)")}
     WHEN 4 THEN {_name(e="concat(substr(epithet, 1, length(epithet) - 1), 'q')")} WHEN 5 THEN {_name(rank="'f.'")} WHEN 6 THEN {_name(a=_FIRST)}
     WHEN 7 THEN {_name(a="concat(author, ' ex Young')")} WHEN 8 THEN {_name(a="concat(author, ' in Bull')")} WHEN 9 THEN {_name(a="'auct.'")}
-    WHEN 10 THEN upper({_name()}) WHEN 11 THEN {_name(g="concat(genus, 'zz')")} WHEN 12 THEN {_name(rank="'ssp.'")} WHEN 13 THEN {_name(a=_BARE)}
+    WHEN 10 THEN {_UPPER} WHEN 11 THEN {_name(g="concat(genus, 'zz')")} WHEN 12 THEN {_name(rank="'ssp.'")} WHEN 13 THEN {_name(a=_BARE)}
     WHEN 14 THEN concat('  ', replace({_name()}, ' ', '  ')) WHEN 15 THEN {_name(sign="''")} ELSE replace({_name()}, '. ', '.') END AS name
   FROM ({BASE}) b) n GROUP BY name
 """
@@ -59,10 +60,15 @@ FROM ({BASE}) b
 """
 
 
+def _upper(x: str) -> str:
+    """Spark's SQL for what DuckDB's ``upper`` gives: each letter becomes one letter, where Java makes FL of a ligature."""
+    return f"array_join(transform(split({x}, ''), c -> CASE WHEN c = 'ß' THEN 'ẞ' WHEN length(upper(c)) = 1 THEN upper(c) ELSE c END), '')"
+
+
 def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     # DuckDB says strpos where Spark says instr. The lateral view keeps the parts of a name columns: inlined into each of
     # the many cases that use them, they would pass the size that code is generated for.
-    own = sql.replace("strpos(", "instr(").replace("FROM part)", "FROM {part})").replace(") b", ") b LATERAL VIEW explode(array(1)) one AS one")
+    own = sql.replace(_UPPER, _upper(_name())).replace("strpos(", "instr(").replace("FROM part)", "FROM {part})").replace(") b", ") b LATERAL VIEW explode(array(1)) one AS one")
     return spark.sql(own, part=spark.read.parquet(f"{sf_dir}/part.parquet"))
 
 
