@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes, so that its temporaries stay near 100 MB.
 SLICE_BYTES = 2 << 20
+#: Rows of texts that Spark hands to Python at a time, and bytes of them after which workers give freed memory back.
+BATCH_ROWS, GIVE_BACK_BYTES = 1_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,6 +63,51 @@ def frequent(words: DataFrame, column: str, most: int, size: int) -> Column:
     return short & (step >= least)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made in here hand BATCH_ROWS rows at most to Python at a time: both sides of the pipe hold a batch of whole
+    texts, twice while it grows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system; its allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """``run`` with freed memory given back between batches and at both ends: workers outlive tasks and stages, and what
+    each of them keeps adds up within an executor."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = GIVE_BACK_BYTES
+        for batch in batches:
+            if seen >= GIVE_BACK_BYTES:
+                give_back()
+                seen = 0
+            seen += batch.nbytes
+            yield batch
+            del batch
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(released(batches))
+        give_back()
+
+    return tidied
+
+
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiphyte.llm.common import frequent, shared_dir, stored
+from lexiphyte.llm.common import frequent, shared_dir, small_batches, stored, tidy
 
 #: Most pre-tokens, and bytes in each, of the frequent ones that all tasks hold (under 7 MB of text).
 HEAD_ROWS, HEAD_BYTES = 100_000, 64
@@ -119,8 +119,8 @@ def _document_rows(path: str, ident: str, text: str, id_type: pa.DataType, head)
 
 def vocabulary(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """Every distinct pre-token of the corpus: ``piece``, its occurrences ``n`` and its tokens ``k``."""
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_frequencies(path, "text"), "piece string, n long")
-    return counts.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(_pieces(path), "piece string, n long, k int")
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(_frequencies(path, "text")), "piece string, n long")
+    return counts.groupBy("piece").agg(F.sum("n").alias("n")).mapInArrow(tidy(_pieces(path)), "piece string, n long, k int")
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,11 +133,12 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
 
     Returns ``id_col, n_bytes, n_tokens, over_limit``, one row per input row, also for repeated rows and null ids. Null
     text counts as empty: no bytes, no tokens. Special strings inside texts are one token each, the library's default.
-    An empty table gives an empty result; further columns are ignored.
+    An empty table gives an empty result; further columns are ignored. The counts are made at once and stored.
     """
     spark = docs.sparkSession
     shared_dir(spark)
-    words = stored(vocabulary(docs, path, text_col), "token-vocabulary")
+    with small_batches(spark):
+        words = stored(vocabulary(docs, path, text_col), "token-vocabulary")
     often = frequent(words, "piece", HEAD_ROWS, HEAD_BYTES)
     head = words.where(often).select("piece", "k").toArrow()
     known = spark.sparkContext.broadcast(dict(zip(head.column(0).to_pylist(), head.column(1).to_pylist(), strict=True)))
@@ -146,14 +147,16 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     id_type = source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = source.mapInArrow(_document_rows(path, "id", "text", to_arrow_type(id_type), known), f"uid long, id {id_type.simpleString()}, n_bytes long, piece string, freq long")
+    rows = source.mapInArrow(tidy(_document_rows(path, "id", "text", to_arrow_type(id_type), known)), f"uid long, id {id_type.simpleString()}, n_bytes long, piece string, freq long")
     own = F.col("n_bytes").isNotNull()
-    return (
+    counted = (
         rows.join(rare, "piece", "left")
         .groupBy("uid")
         .agg(F.max("id").alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum(F.when(own, F.col("freq")).otherwise(F.col("freq") * F.col("k"))).cast("long").alias("n_tokens"))
         .select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
     )
+    with small_batches(spark):
+        return stored(counted, "token-counts")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
