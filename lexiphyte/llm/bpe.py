@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiphyte.llm.common import discard, frequent, lists, shared_dir, slices, stored
+from lexiphyte.llm.common import discard, frequent, lists, shared_dir, slices, small_batches, stored, tidy
 
 #: Most pre-tokens, and bytes in each, of the frequent ones whose ids all tasks hold (13 MB of text at most).
 HEAD_WORDS, HEAD_BYTES = 200_000, 64
@@ -208,7 +208,7 @@ def _counts(pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def pre_tokens(docs: DataFrame, pattern: str = public_tokenizers.PATTERN, text_col: str = "text") -> DataFrame:
     """``word, n``: every distinct pre-token of the corpus and its occurrences. Null and empty texts have none."""
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(_counts(pattern), "word string, n long")
+    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(tidy(_counts(pattern)), "word string, n long")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -221,12 +221,13 @@ def replayed(words: DataFrame, path: str) -> DataFrame:
             ids, ends = replay.encode([x.encode() for x in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(ids, np.concatenate(([0], ends)), pa.int32())], ["word", "ids"])
 
-    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+    return words.select("word").mapInArrow(tidy(run), "word string, ids array<int>")
 
 
 def corpus_lexicon(docs: DataFrame, path: str, pattern: str, text_col: str):
     """The ids of the frequent pre-tokens of the corpus, as a broadcast of (words, ids, ends); its size is bounded."""
-    words = stored(pre_tokens(docs, pattern, text_col), "pre-tokens")
+    with small_batches(docs.sparkSession):
+        words = stored(pre_tokens(docs, pattern, text_col), "pre-tokens")
     head = replayed(words.where(frequent(words, "word", HEAD_WORDS, HEAD_BYTES)), path).toArrow()
     discard(words)
     ids = head.column(1).combine_chunks()
@@ -314,7 +315,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizer
             stops = np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(counts)))]
             yield pa.RecordBatch.from_arrays([part.column("id"), lists(ids, stops, pa.int32())], ["id", "ids"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
+    return source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def _decode(path: str, ids: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -337,7 +338,7 @@ def _decode(path: str, ids: str) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """The table with ``decoded``, the bytes of each list of ids; a null or empty list has none."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(_decode(path, ids_col), f"{kinds}, decoded binary")
+    return encoded.mapInArrow(tidy(_decode(path, ids_col)), f"{kinds}, decoded binary")
 
 
 def token_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,7 +347,8 @@ def token_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
 
     The ids are those of ``encode_documents``. Decoding a text is decoding its words' ids one after another, so each
     distinct word is decoded once and neither ids nor bytes leave the task. Null and empty texts have no tokens and the
-    digests of nothing; repeated rows and null ids are kept; empty tables give no rows; other columns are ignored.
+    digests of nothing; repeated rows and null ids are kept; empty tables give no rows; other columns are ignored. The digests are
+    made at once and stored.
     """
     shared_dir(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -363,7 +365,9 @@ def token_digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.P
                 texts.append(hashlib.sha256(b"".join(map(decoded, row))).hexdigest())
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    digests = source.mapInArrow(tidy(run), f"id {source.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    with small_batches(docs.sparkSession):
+        return stored(digests, "token-digests")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
