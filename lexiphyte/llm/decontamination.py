@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiphyte.llm.common import buffers, lists, shared_dir, slices, stored, words
+from lexiphyte.llm.common import buffers, lists, shared_dir, slices, small_batches, stored, tidy, words
 
 #: Words of a window, and items from which a document counts as contaminated.
 WINDOW, ITEMS = 8, 2
@@ -185,7 +185,8 @@ def find_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: in
         own = test if parts == 1 else test.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part)
         got = own.toArrow()
         w = Windows([(a, np.array(b, np.int64).view(np.uint64)) for a, b in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)], window)
-        index = stored(source.mapInArrow(_index(spark.sparkContext.broadcast(w.terms)), INDEX), "postings")
+        with small_batches(spark):
+            index = stored(source.mapInArrow(tidy(_index(spark.sparkContext.broadcast(w.terms))), INDEX), "postings")
         count = np.zeros(len(w.terms), np.int64)
         for t, n in index.select("term", "ends").mapInArrow(_counts, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
             count[t] = n  # one row for each test term
