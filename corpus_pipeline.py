@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to token ids, each one of the operators in ``lexiphyte.llm``.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
-Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``documents``. Each begins by
+having executors give back the heap that the one before left them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiphyte.llm.bpe import token_digests
-from lexiphyte.llm.common import stored
+from lexiphyte.llm.common import collect_garbage, stored
 from lexiphyte.llm.decontamination import drop_contaminated
 from lexiphyte.llm.near_duplicates import drop_near_duplicates
 from lexiphyte.llm.secrets import redact_secrets
@@ -19,26 +20,31 @@ from lexiphyte.llm.toxicity import drop_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score 0.5 or more) go."""
+    collect_garbage(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8 or more) stays, that of the smallest id."""
+    collect_garbage(spark)
     return drop_near_duplicates(docs, size=5, similarity=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold passages of a benchmark item go."""
+    collect_garbage(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, nested ones included, become ``[secret]``, and n_chars follows; every document stays."""
+    collect_garbage(spark)
     return redact_secrets(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
+    collect_garbage(spark)
     return token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 

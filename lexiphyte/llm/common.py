@@ -84,6 +84,14 @@ def give_back() -> None:
         trim(0)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Have the executors' JVMs collect their heaps and return what is free to the system; they would keep what earlier
+    work made them grow to. As many tasks as there are cores, so that each idle executor gets some; no result depends on it.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
