@@ -1,4 +1,4 @@
-"""Matching query names to reference names: one probe join for all key rules, then blocked edit distance."""
+"""Matching query names to reference names: one probe join for all key rules, then edit distance within blocks of a genus."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lexiphyte.functions.keys import KINDS, PARTS, with_keys
 from lexiphyte.functions.text import blank_to_null
+from lexiphyte.operators.near import with_near
 from lexiphyte.operators.parse import PARSED, as_names, check_names, check_parse, with_parts
-from lexiphyte.plans.cascade import CANONICAL, UNIQUE, label, probes, within
+from lexiphyte.plans.cascade import CANONICAL, UNIQUE, label, probes, used
 from lexiphyte.sources.tables import stored
 
 SIMPLE = ("query", "reference", "match_type")
@@ -64,15 +65,18 @@ def reference_keys(keyed: DataFrame, kinds: set[str] | None = None) -> DataFrame
     return keyed.select("pos", "row", "id", F.explode(pairs).alias("e")).groupBy("e.kind", "e.key").agg(F.max(F.struct("pos", "row", "id")).alias("last"), F.count("*").alias("n"))
 
 
-def cascade(query: DataFrame, ref: DataFrame, max_dist: float = 10, match_no_auth: bool = False, match_canon: bool = False) -> DataFrame:
-    """``qrow, rrow, match_type`` for keyed tables: a row per query, more where edit distance finds several.
+def cascade(query: DataFrame, asked: DataFrame, ref: DataFrame, of_query: list[str], of_ref: dict[str, Column], max_dist: float = 10, match_no_auth: bool = False, match_canon: bool = False) -> DataFrame:
+    """``of_query, of_ref, match_type`` for keyed tables: a row for each of ``asked``, more where edit distance finds several.
 
-    All lookups of a query go through one join on (kind, key); the reference side is reduced before it, with partial
-    aggregation, so a key that very many rows share is one row. A hit on a query's own id doesn't count, and no earlier
-    row with the key takes its place. Queries left over meet the references of their genus.
+    ``asked`` holds the queries with what is shown of them, and may hold one several times. All lookups of a query go
+    through one join on (kind, key); the reference side is reduced before it, with partial aggregation, so a key that very
+    many rows share is one row. A hit on a query's own id doesn't count, and no earlier row with the key takes its place.
+    Queries left over meet the references of their genus. As those may give very many pairs, pairs carry all that is
+    shown and take part in no join any more. Joins are merged: a table read back is larger than its file lets Spark think.
     """
+    rules = used(match_no_auth, match_canon)
     looked = query.select(F.col("row").alias("qrow"), F.col("id").alias("qid"), F.explode(probes(match_no_auth, match_canon)).alias("p")).select("qrow", "qid", "p.*")
-    hits = looked.join(reference_keys(ref), ["kind", "key"]).where("last.id <> qid")
+    hits = looked.join(reference_keys(ref, {r.ref_kind for r in rules}).hint("merge"), ["kind", "key"]).where("last.id <> qid")
     if match_no_auth:
         hits = hits.where((F.col("pri") != UNIQUE.priority) | (F.col("n") == 1))
     row = F.col("last.row")
@@ -80,17 +84,22 @@ def cascade(query: DataFrame, ref: DataFrame, max_dist: float = 10, match_no_aut
         F.min(F.when(F.col("pri") < CANONICAL.priority, F.struct("pri", row.alias("rrow")))).alias("equi"),
         F.max(F.when(F.col("pri") == CANONICAL.priority, row)).alias("canon"),
     )
-    state = query.select(F.col("row").alias("qrow"), F.col("id").alias("qid"), "genus_name", F.col("k_punct").alias("q"), "auct").join(best, "qrow", "left")
-    # A genus is null for settled and for auct. queries, so that they meet none; lengths bound the distance from below.
-    blocked = state.withColumn("g", F.when(F.col("equi").isNull() & ~F.col("auct"), F.col("genus_name")))
-    targets = ref.select(F.col("genus_name").alias("rg"), F.col("row").alias("frow"), F.col("id").alias("fid"), F.col("k_punct").alias("t"))
-    near = (F.col("g") == F.col("rg")) & (F.col("fid") != F.col("qid")) & (F.abs(F.length("q") - F.length("t")) <= F.lit(float(max_dist))) & within(F.col("q"), F.col("t"), max_dist)
-    fuzzy = blocked.join(targets, near, "left")
-    return fuzzy.select(
-        "qrow",
-        F.coalesce("equi.rrow", "frow", "canon").alias("rrow"),
-        F.when(F.col("equi").isNotNull(), label(F.col("equi.pri"))).when(F.col("frow").isNotNull(), "auto_fuzzy").when(F.col("canon").isNotNull(), CANONICAL.label).otherwise("no_match").alias("match_type"),
+    # A genus is null for settled and for auct. queries, so that they meet none.
+    state = asked.join(best.hint("merge"), asked["row"] == best["qrow"], "left").select(
+        *of_query,
+        F.coalesce("equi.rrow", "canon").alias("rrow"),
+        F.when(F.col("equi").isNotNull(), label(F.col("equi.pri"))).when(F.col("canon").isNotNull(), CANONICAL.label).otherwise("no_match").alias("match_type"),
+        F.when(F.col("equi").isNull() & ~F.col("auct"), F.col("genus_name")).alias("_genus"),
+        F.col("id").alias("_id"),
+        F.col("k_punct").alias("_key"),
+        F.xxhash64("row", "query").alias("_hash"),
     )
+    shown = [c.alias(name) for name, c in of_ref.items()]
+    state = state.join(ref.select(F.col("row").alias("rrow"), *shown).hint("merge"), "rrow", "left")
+    if max_dist < 0:
+        return state.select(*of_query, *of_ref, "match_type")
+    targets = ref.select(F.col("genus_name").alias("_genus"), F.col("id").alias("_id"), F.col("k_punct").alias("_key"), *shown)
+    return with_near(state, targets, asked.groupBy(F.col("genus_name").alias("_genus")).count(), max_dist, of_query, list(of_ref))
 
 
 def collapsed(query: DataFrame, exclude: list[str] | None) -> tuple[DataFrame, DataFrame]:
@@ -132,53 +141,57 @@ def match_names(
     _check(query, reference, max_dist, match_no_auth, match_canon, collapse_infra, simple)
     replaced = None
     if manual_match is not None:
-        query, replaced = _manual(spark, query, manual_match)
+        query, replaced, picks = _manual(spark, query, manual_match)
     # Tables without ids get them by side; a table matched to itself has the same on both, as equal lists have.
     q = prepared(spark, query, "query", validate, "df" if query is reference else "q")
     r = prepared(spark, reference, "reference", validate, "df" if query is reference else "r")
     if manual_match is not None:
         known = r.select(F.col("name").alias("match"))
-        if manual_match.join(known, "match", "left_anti").limit(1).count():
+        if picks.join(known.hint("merge"), "match", "left_anti").limit(1).count():
             raise ValueError("manual_match names references that are not there")
     q, r = q.where(parses()), r.where(parses())
+    asked = q.withColumn("query", F.col("name"))
     if collapse_infra:
         left, stands_for = collapsed(q, collapse_infra_exclude)
         q = stored(with_keys(left), "query-collapsed")
-    pairs = cascade(q, r, max_dist, match_no_auth, match_canon)
-    out = (
-        pairs.join(q.select(F.col("row").alias("qrow"), F.col("name").alias("query"), F.col("id").alias("id_query"), *(blank_to_null(F.col(p)).alias(f"{p}_query") for p in PARTS)), "qrow")
-        .join(r.select(F.col("row").alias("rrow"), F.col("name").alias("reference"), F.col("id").alias("id_ref"), *(blank_to_null(F.col(p)).alias(f"{p}_ref") for p in PARTS)), "rrow", "left")
-    )
-    if collapse_infra:
-        out = out.drop("query").join(stands_for, "qrow")
-    out = out.select(*FULL)
+        asked = q.join(stands_for.hint("merge"), F.col("row") == F.col("qrow"))
+    if replaced is not None:
+        asked = replaced.join(asked.withColumnRenamed("query", "query_new").hint("merge"), "query_new")
+    of_query, of_ref = ["query"], {"reference": F.col("name")}
+    if not simple:
+        of_ref |= {"id_ref": F.col("id"), **{f"{p}_ref": blank_to_null(F.col(p)) for p in PARTS}}
+        asked = asked.withColumns({"id_query": F.col("id"), **{f"{p}_query": blank_to_null(F.col(p)) for p in PARTS}})
+        of_query += ["id_query", *(f"{p}_query" for p in PARTS)] + ["query_new"] * (replaced is not None)
     if replaced is not None:
-        both = replaced.join(out.withColumnRenamed("query", "query_new"), "query_new")
-        out = both.withColumn("match_type", F.when(F.col("manual"), "manual").otherwise(F.col("match_type"))).select("query", "query_new", *FULL[1:])
-    return out.select(*SIMPLE) if simple else out
+        of_query.append("manual")
+    out = cascade(q, asked, r, of_query, of_ref, max_dist, match_no_auth, match_canon)
+    if replaced is None:
+        return out.select(*(SIMPLE if simple else FULL))
+    out = out.withColumn("match_type", F.when(F.col("manual"), "manual").otherwise(F.col("match_type")))
+    return out.select(*(SIMPLE if simple else ("query", "query_new", *FULL[1:])))
 
 
-def _manual(spark: SparkSession, query: Names, manual: DataFrame) -> tuple[Names, DataFrame]:
-    """The names to match in place of the queries, and the table from the queries to them."""
+def _manual(spark: SparkSession, query: Names, manual: DataFrame) -> tuple[Names, DataFrame, DataFrame]:
+    """The names to match in place of the queries, the table from the queries to them, and the overrides, stored."""
     if not isinstance(manual, DataFrame):
         raise TypeError("manual_match must be of class DataFrame")
     if not {"query", "match"} <= set(manual.columns):
         raise ValueError("manual_match must have `query` and `match` columns")
-    if manual.groupBy("query").count().where("count > 1 OR query IS NULL").limit(1).count():
+    picks = stored(manual.select("query", "match"), "manual")
+    if picks.groupBy("query").count().where("count > 1 OR query IS NULL").limit(1).count():
         raise ValueError("Queries of manual_match must be unique and not null")
     if is_parsed(query):
         raise TypeError("manual_match can only be used if query is given as names")
-    picks = manual.select("query", "match")
     if isinstance(query, (list, tuple)):
         # A list is on the driver already; only its own overrides come there.
         own = spark.createDataFrame([(x,) for x in dict.fromkeys(query)], "query string").join(picks, "query")
         to = {x["query"]: x["match"] for x in own.collect()}
         rows = [(x, to[x] if to.get(x) is not None else x, x in to) for x in query]
-        return list(dict.fromkeys(new for _, new, _ in rows)), spark.createDataFrame(rows, "query string, query_new string, manual boolean")
+        return list(dict.fromkeys(new for _, new, _ in rows)), spark.createDataFrame(rows, "query string, query_new string, manual boolean"), picks
     pos = F.col("pos").cast("long") if "pos" in query.columns else F.monotonically_increasing_id()
-    rows = query.select(pos.alias("pos"), F.col("name").alias("query")).join(picks.withColumn("manual", F.lit(True)), "query", "left")
-    rows = rows.select("pos", "query", F.coalesce("match", "query").alias("query_new"), F.coalesce("manual", F.lit(False)).alias("manual"))
-    return rows.groupBy(F.col("query_new").alias("name")).agg(F.min("pos").alias("pos")), rows.drop("pos")
+    rows = query.select(pos.alias("pos"), F.col("name").alias("query")).join(picks.withColumn("manual", F.lit(True)).hint("merge"), "query", "left")
+    rows = stored(rows.select("pos", "query", F.coalesce("match", "query").alias("query_new"), F.coalesce("manual", F.lit(False)).alias("manual")), "replaced")
+    return rows.groupBy(F.col("query_new").alias("name")).agg(F.min("pos").alias("pos")), rows.drop("pos"), picks
 
 
 def _check(query: Names, reference: Names, max_dist: float, *flags: bool) -> None:

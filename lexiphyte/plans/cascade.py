@@ -33,11 +33,14 @@ UNIQUE = RULES[2]
 CANONICAL = Rule(13, "auto_cfonly", "cfonly", "cfonly")
 
 
+def used(match_no_auth: bool, match_canon: bool) -> list[Rule]:
+    return [r for r in RULES if match_no_auth or r is not UNIQUE] + ([CANONICAL] if match_canon else [])
+
+
 def probes(match_no_auth: bool, match_canon: bool) -> Column:
     """All lookups of a query as an array of (pri, kind, key); gated ones are null entries that the explode drops."""
-    used = [r for r in RULES if match_no_auth or r is not UNIQUE] + ([CANONICAL] if match_canon else [])
     made = []
-    for r in used:
+    for r in used(match_no_auth, match_canon):
         one = F.struct(F.lit(r.priority).alias("pri"), F.lit(r.ref_kind).alias("kind"), F.col(f"k_{r.query_kind}").alias("key"))
         made.append(F.when(F.col("no_author"), one) if r is UNIQUE else one)
     return F.filter(F.array(*made), lambda x: x.isNotNull())
@@ -45,17 +48,3 @@ def probes(match_no_auth: bool, match_canon: bool) -> Column:
 
 def label(priority: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for r in (*RULES, CANONICAL) for x in (r.priority, r.label))), priority)
-
-
-def within(q: Column, t: Column, k: float) -> Column:
-    """Edit distance of at most ``k``; at exactly ``k`` a pair fails if only deleting the reference's end gets there."""
-    whole = int(k // 1)
-    d = F.levenshtein(q, t, whole)
-    if whole < 0:
-        return F.lit(False)
-    if whole != k:
-        return d >= 0
-    qm, tm = F.left(q, F.length(q) - 1), F.left(t, F.length(t) - 1)
-    differ = F.when((F.length(q) == 0) | (F.right(q, F.lit(1)) != F.right(t, F.lit(1))), 1).otherwise(0)
-    penalty = (F.length(t) > 0) & (F.levenshtein(q, tm) + 1 == d) & (d < F.levenshtein(qm, tm) + differ) & (d < F.levenshtein(qm, t) + 1)
-    return (d >= 0) & ((d < whole) | ~penalty)
