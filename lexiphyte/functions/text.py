@@ -29,9 +29,21 @@ def squeeze(c: Column) -> Column:
 
 def depunct(c: Column) -> Column:
     """Letters without marks, digits, ``&`` and the hybrid sign, in lower case; all else goes."""
-    c = F.replace(F.replace(F.translate(c, PLAIN_FROM, PLAIN_TO), F.lit("æ"), F.lit("ae")), F.lit("Æ"), F.lit("Ae"))
-    c = F.regexp_replace(F.translate(c, "()", "__"), " (and|et.?)  ", " & ")
-    return F.lower(F.regexp_replace(c, "[^A-Za-z0-9&×]", ""))
+    return _bare(F.regexp_replace(_unmarked(c), " (and|et.?)  ", " & "))
+
+
+def depunct_squeezed(c: Column) -> Column:
+    """``depunct`` of a text without double spaces, of which it is that of its pieces one after the other."""
+    return _bare(_unmarked(c))
+
+
+def _unmarked(c: Column) -> Column:
+    marked = F.replace(F.replace(F.translate(c, PLAIN_FROM, PLAIN_TO), F.lit("æ"), F.lit("ae")), F.lit("Æ"), F.lit("Ae"))
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(marked)  # most have ASCII alone
+
+
+def _bare(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, "[^A-Za-z0-9&×]+", ""))
 
 
 def cleaned(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import warnings
 from collections.abc import Callable
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiphyte.functions.ids import name_table
 from lexiphyte.functions.keys import PARTS
-from lexiphyte.functions.text import NAME_PATTERN, PART_PATTERNS, blank_to_null, depunct, squeeze
+from lexiphyte.functions.text import NAME_PATTERN, PART_PATTERNS, blank_to_null, depunct, depunct_squeezed, squeeze
 
 PARSED = ("name", "id", *PARTS)
 #: Names that a warning spells out.
@@ -22,6 +23,14 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _holds(*texts: str) -> Callable[[Column], Column]:
+    return lambda c: functools.reduce(Column.__or__, (c.contains(t) for t in texts))
+
+
+def _mended(look: Callable[[Column], Column], pattern: str, to: str) -> Callable[[Column], Column]:
+    return lambda c: F.when(look(c), F.regexp_replace(c, pattern, to)).otherwise(c)
+
+
 def split_name(name: Column) -> Column:
     """The seven parts of a name as an array; null where it can't be parsed.
 
@@ -31,13 +40,14 @@ def split_name(name: Column) -> Column:
 
     def found(c: Column) -> Column:
         x = F.regexp_replace(c, NAME_PATTERN, "$1|$2|$3|$4|$5|$6|$7")
-        for pattern, to in ((r" *\|", "|"), (r"\|(auctt?)\|\.", "||$1."), (r"\|d\|", "||d"), (r"\|[xX]\|", "|×|"), (r"^[xX]\|", "×|")):
-            x = F.regexp_replace(x, pattern, to)
+        # Each pattern is tried only where a look says that it may be there.
+        for look, pattern, to in ((_holds(" |"), r" *\|", "|"), (_holds("|auct"), r"\|(auctt?)\|\.", "||$1."), (_holds("|d|"), r"\|d\|", "||d"), (_holds("|x|", "|X|"), r"\|[xX]\|", "|×|"), (_holds("x|", "X|"), r"^[xX]\|", "×|")):
+            x = bound(x, _mended(look, pattern, to))
         return x
 
     def checked(c: Column, f: Column) -> Column:
-        remade = F.regexp_replace(F.regexp_replace(F.replace(f, F.lit("|"), F.lit(" ")), "  +", " "), "^ | $", "")
-        same = F.translate(depunct(remade), "×", "x") == F.translate(depunct(c), "×", "x")
+        # Put together again the parts have no double spaces, and single ones and bars don't count.
+        same = F.replace(depunct_squeezed(f), F.lit("×"), F.lit("x")) == F.replace(depunct(c), F.lit("×"), F.lit("x"))
 
         def parts(x: Column) -> Column:
             good = (F.size(x) == 7) & same
