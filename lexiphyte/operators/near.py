@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiphyte.plans import distance
 from lexiphyte.plans.distance import pairs_within
 
+# Sent along with the plan: executors needn't have this package.
+for module in (distance, sys.modules[__name__]):
+    cloudpickle.register_pickle_by_value(module)
+
 #: Queries of a genus beyond which it is cut into blocks, each of which meets all of the genus's references.
 BLOCK = 4_096
 #: Parts over which rows go that meet nothing.
